@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecspark.llm.simhash import near_duplicate_groups
 from vecspark.llm.spm_codec import spm_encode
 from vecspark.llm.token_counts import token_counts
 from vecspark.plans.session import prepare
@@ -27,9 +28,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SPM_MODEL)
     return spm_encode(table(spark, sf_dir, "documents"), Path(model).read_bytes())
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
