@@ -6,7 +6,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vecspark.llm import oracles
+from vecspark.llm.quality_rules import quality_rules
 from vecspark.llm.simhash import near_duplicate_groups
 from vecspark.llm.spm_codec import spm_encode
 from vecspark.llm.token_counts import token_counts
@@ -28,6 +31,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SPM_MODEL)
     return spm_encode(table(spark, sf_dir, "documents"), Path(model).read_bytes())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = quality_rules(table(spark, sf_dir, "documents"))
+    return said.select("doc_id", "n_words", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"), "keep")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
 
@@ -35,7 +43,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": oracles.quality_sql(),
+}
