@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark.llm.line_dedup import line_dedup
+from vecspark.llm.mixing import mix
+from vecspark.llm.quality_rules import quality_rules
+from vecspark.llm.queries import SPM_MODEL, table
+from vecspark.llm.simhash import drop_near_duplicates
+from vecspark.llm.spm_codec import spm_encode
+from vecspark.plans.session import cut
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules don't reject."""
+    return quality_rules(docs, carry=True)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated passages; ``n_chars`` follows the text.
+
+    A document whose every line was removed is gone: its text stands in earlier documents. Texts that
+    were empty before stay.
+    """
+    out = line_dedup(docs, removed_col="__removed").where((F.col("__removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the target weights of source, language and topic."""
+    return mix(docs, carry=True)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, checked against the SentencePiece library and decoded again."""
+    return spm_encode(docs, Path(SPM_MODEL).read_bytes())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing to target weights", mixture),
+    ("SentencePiece encoding", encoding),
+]
 
-STAGES: list = []
+#: Fingerprint search and tokenisation can't be expressed in SQL; tests hold a brute-force version against run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("stages follow")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, f"stage{i}")
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vecspark.llm import mixing as M
 from vecspark.llm import quality_rules as Q
 
 
@@ -29,3 +30,42 @@ a AS (SELECT t.rid, t.doc_id, t.text, length(s) AS chars, coalesce(x.total, 0)::
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN n END AS n_words, CASE WHEN text IS NOT NULL THEN round(jc, 6) END AS js_chars, CASE WHEN text IS NOT NULL THEN round(jw, 6) END AS js_words,
   NOT (chars >= {Q.MIN_CHARS} AND jc > {Q.MAX_CHAR_DISTANCE} + {Q.CHAR_SLACK} / sqrt(greatest(1, chars)) OR n >= {Q.MIN_WORDS} AND jw > {Q.MAX_WORD_DISTANCE} + {Q.WORD_SLACK} / sqrt(greatest(1, n))) AS keep
 FROM a"""
+
+
+LINE_DEDUP = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM t WHERE text IS NOT NULL),
+w AS (SELECT doc_id, text, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] AS k
+  FROM (SELECT doc_id, text, l, unnest(range(len(l) - 2)) AS pos FROM l WHERE len(l) >= 3) WHERE l[pos + 1] || l[pos + 2] || l[pos + 3] <> ''),
+later AS (SELECT doc_id, text, pos FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, text, pos) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, text, pos + unnest([0, 1, 2]) AS pos FROM later),
+kept AS (SELECT doc_id, text, string_agg(line, chr(10) ORDER BY i) AS left_text FROM
+  (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM t WHERE text IS NOT NULL) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id IS NOT DISTINCT FROM x.doc_id AND g.text = x.text AND g.pos = x.i) GROUP BY ALL),
+n AS (SELECT doc_id, text, count(*) AS n FROM gone GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.left_text, '') END AS text, coalesce(n.n, 0)::INTEGER AS n_removed
+FROM documents d LEFT JOIN kept ON kept.doc_id IS NOT DISTINCT FROM d.doc_id AND kept.text = d.text LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM d.doc_id AND n.text = d.text"""
+
+
+def mixing_sql() -> str:
+    hits = ", ".join(f"len(regexp_extract_all(s, '{p}'))" for _, p in M.TOPICS)
+    names = ", ".join(f"'{t}'" for t, _ in M.TOPICS)
+    steps, last = [], "w0"
+    for r in range(M.ROUNDS):
+        for d in M.DIMENSIONS:
+            name = f"w{r * len(M.DIMENSIONS) + M.DIMENSIONS.index(d) + 1}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, want_source, want_lang, want_topic, least(tokens, w * (want_{d} / greatest(sum(w) OVER (PARTITION BY {d}), 1e-300))) AS w FROM {last})")
+            last = name
+    wants = ", ".join(f"t_{d} AS (SELECT {d}, s / sum(s) OVER () * (SELECT sum(tokens) FROM cells) * {M.BUDGET} AS want_{d} FROM (SELECT {d}, pow(sum(tokens), {M.EXPONENTS[d]}) AS s FROM cells GROUP BY {d}))" for d in M.DIMENSIONS)
+    return f"""
+WITH a AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS s FROM documents),
+b AS (SELECT *, len(regexp_extract_all(s, '{M.WORD}')) AS n, [{hits}] AS hits FROM a),
+c AS (SELECT *, CASE WHEN list_max(hits) > 0 AND list_max(hits) * {M.TOPIC_WORDS} >= n THEN [{names}][list_position(hits, list_max(hits))] ELSE '{M.OTHER_TOPIC}' END AS topic FROM b),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM c WHERE n > 0 GROUP BY ALL),
+{wants},
+w0 AS MATERIALIZED (SELECT cells.*, want_source, want_lang, want_topic, tokens * {M.BUDGET} AS w FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
+{", ".join(steps)},
+p AS (SELECT c.*, CASE WHEN n > 0 THEN x.w / x.tokens ELSE 1 END AS p FROM c LEFT JOIN {last} x USING (source, lang, topic))
+SELECT doc_id, topic, n AS n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5('{M.SEED}:' || coalesce(doc_id::VARCHAR, s)), 1, 13))::BIGINT / {float(1 << 52)!r} < p AS sampled
+FROM p"""

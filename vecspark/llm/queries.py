@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import oracles
+from vecspark.llm.line_dedup import line_dedup
+from vecspark.llm.mixing import mix
 from vecspark.llm.quality_rules import quality_rules
 from vecspark.llm.simhash import near_duplicate_groups
 from vecspark.llm.spm_codec import spm_encode
@@ -40,13 +42,26 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = mix(table(spark, sf_dir, "documents"))
+    return said.withColumn("probability", F.round("probability", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.quality_sql(),
+    "op6_line_dedup": oracles.LINE_DEDUP,
+    "op7_mixing": oracles.mixing_sql(),
 }
