@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vecspark.llm import mixing as M
 from vecspark.llm import quality_rules as Q
+from vecspark.llm import url_reputation as U
 
 
 def quality_sql() -> str:
@@ -69,3 +70,34 @@ p AS (SELECT c.*, CASE WHEN n > 0 THEN x.w / x.tokens ELSE 1 END AS p FROM c LEF
 SELECT doc_id, topic, n AS n_tokens, round(p, 6) AS probability,
   ('0x' || substr(md5('{M.SEED}:' || coalesce(doc_id::VARCHAR, s)), 1, 13))::BIGINT / {float(1 << 52)!r} < p AS sampled
 FROM p"""
+
+
+#: The document that a page's URL names, in Spark and in DuckDB.
+PAGE_DOC = r"/([0-9]+)(?:\.[a-z]+)?/?(?:[?#].*)?$"
+
+
+def reputation_sql() -> str:
+    two = ", ".join(f"'{x}'" for x in U.SUFFIXES)
+    low, high = U.STRENGTHS
+
+    def prior(name: str, level: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT CASE WHEN t > 0 THEN g / t ELSE 0.5 END AS mu, CASE WHEN phi > 1e-9 THEN least({high}, greatest({low}, 1 / phi - 1)) ELSE {high} END AS m FROM
+  (SELECT t, g, CASE WHEN t > 0 AND g / t * (1 - g / t) * (t - t2 / t - (k - 1)) > 1e-9 THEN (q - g * g / t - g / t * (1 - g / t) * (k - 1)) / (g / t * (1 - g / t) * (t - t2 / t - (k - 1))) END AS phi FROM
+    (SELECT sum(n)::DOUBLE AS t, sum(good)::DOUBLE AS g, sum(n::DOUBLE * n) AS t2, sum(good::DOUBLE * good / n) AS q, count(*) AS k FROM {level} WHERE n > 0)))"""
+
+    return f"""
+WITH l AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS outcome FROM labels GROUP BY 1),
+p AS (SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '{U.HOST}', 1)), '\\.+$', ''), '') AS host, try_cast(regexp_extract(url, '{PAGE_DOC}', 1) AS BIGINT) AS doc FROM pages),
+o AS (SELECT page_id, host, outcome FROM p LEFT JOIN l ON l.doc_id = p.doc),
+h0 AS (SELECT host, count(outcome) AS n, coalesce(sum(outcome), 0) AS good FROM o WHERE host IS NOT NULL GROUP BY 1),
+h1 AS (SELECT *, CASE WHEN regexp_matches(host, '{U.ADDRESS}') THEN host WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) IN ({two}) THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]+)$', 1) END AS suffix FROM h0),
+h AS MATERIALIZED (SELECT *, CASE WHEN length(host) > length(suffix) + 1 THEN regexp_extract(left(host, length(host) - length(suffix) - 1), '([^.]+)$', 1) || '.' || suffix ELSE host END AS domain FROM h1),
+d AS MATERIALIZED (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+s AS MATERIALIZED (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+{prior("ps", "s")}, {prior("pd", "d")}, {prior("ph", "h")},
+sm AS (SELECT suffix, (good + m * mu) / (n + m) AS above FROM s, ps),
+dm AS (SELECT domain, (good + m * above) / (n + m) AS above FROM d JOIN sm USING (suffix), pd),
+ab AS (SELECT h.*, good + m * above AS a, n - good + m * (1 - above) AS b FROM h JOIN dm USING (domain), ph),
+r AS (SELECT *, a / (a + b) AS mean, greatest(0, a / (a + b) - {U.Z} * sqrt(a * b / (a + b + 1)) / (a + b)) AS lower FROM ab)
+SELECT page_id, o.host, r.domain, r.suffix, r.n::BIGINT AS n_labelled, r.good::BIGINT AS n_good, round(r.mean, 6) AS mean, round(r.lower, 6) AS lower, o.host IS NULL OR r.lower >= {U.THRESHOLD} AS keep
+FROM o LEFT JOIN r ON r.host = o.host"""

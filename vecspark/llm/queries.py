@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import oracles
+from vecspark.llm.language_id import language_id, prototypes
 from vecspark.llm.line_dedup import line_dedup
 from vecspark.llm.mixing import mix
 from vecspark.llm.quality_rules import quality_rules
 from vecspark.llm.simhash import near_duplicate_groups
 from vecspark.llm.spm_codec import spm_encode
 from vecspark.llm.token_counts import token_counts
+from vecspark.llm.url_reputation import url_reputation
 from vecspark.plans.session import prepare
 
 #: The SentencePiece model that the queries use, a parameter of theirs.
@@ -51,6 +53,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("probability", F.round("probability", 6))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, prototypes(docs))
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages name a document in their URL; its label is their outcome: good where of quality and not toxic."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("outcome"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", oracles.PAGE_DOC, 1).try_cast("long").alias("doc"))
+    said = url_reputation(pages.join(labels, F.col("doc") == F.col("doc_id"), "left"))
+    return said.withColumn("mean", F.round("mean", 6)).withColumn("lower", F.round("lower", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -58,10 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_url_reputation": op10_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.quality_sql(),
     "op6_line_dedup": oracles.LINE_DEDUP,
     "op7_mixing": oracles.mixing_sql(),
+    "op10_url_reputation": oracles.reputation_sql(),
 }
