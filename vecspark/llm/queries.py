@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from vecspark.llm import oracles
 from vecspark.llm.language_id import language_id, prototypes
 from vecspark.llm.line_dedup import line_dedup
+from vecspark.llm.media import media_clips
+from vecspark.llm.media_fixture import CLIPS_SQL, films
 from vecspark.llm.mixing import mix
 from vecspark.llm.quality_rules import quality_rules
+from vecspark.llm.sharding import ShardStore
 from vecspark.llm.simhash import near_duplicate_groups
 from vecspark.llm.spm_codec import spm_encode
 from vecspark.llm.token_counts import token_counts
 from vecspark.llm.url_reputation import url_reputation
-from vecspark.plans.session import prepare
+from vecspark.plans.session import prepare, scratch_path
 
 #: The SentencePiece model that the queries use, a parameter of theirs.
 SPM_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,6 +47,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
 
 
+#: Arrivals that the documents come in, a parameter of the sharding query.
+ARRIVALS = 4
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = ARRIVALS) -> DataFrame:
+    """Documents arrive in parts, each is appended and the table compacted; the rows of the last version."""
+    docs = table(spark, sf_dir, "documents")
+    store = ShardStore(spark, scratch_path(spark, "shards"), keep_versions=1)
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals))
+    for i in range(arrivals):
+        store.append(docs.where(part == i))
+        store.compact()
+    store.expire()
+    return store.read()
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +72,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("probability", F.round("probability", 6))
 
 
+def op8_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Films made from the whole table of embeddings, cut into clips."""
+    return media_clips(films(table(spark, sf_dir, "embeddings")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id(docs, prototypes(docs))
@@ -71,15 +95,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_media_clips": op8_media_clips,
     "op9_language_id": op9_language_id,
     "op10_url_reputation": op10_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.quality_sql(),
+    "op5_sharding": "SELECT * FROM documents",
     "op6_line_dedup": oracles.LINE_DEDUP,
     "op7_mixing": oracles.mixing_sql(),
+    "op8_media_clips": CLIPS_SQL,
     "op10_url_reputation": oracles.reputation_sql(),
 }
