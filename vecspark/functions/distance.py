@@ -89,10 +89,11 @@ def distance_to(vector: Column, query: Sequence[float], metric: str = "L2") -> C
     if m == "L2":
         out = total([(x - F.lit(y)) * (x - F.lit(y)) for x, y in zip(at, q, strict=True)])
     else:
-        out = F.lit(1.0) - total([x * F.lit(y) for x, y in zip(at, q, strict=True)])
+        prod = total([x * F.lit(y) for x, y in zip(at, q, strict=True)])
+        out = F.lit(1.0) - prod
         if m == "COSINE":
             norms = F.aggregate(F.slice(vector, 1, len(q)), F.lit(0.0), lambda s, x: s + x.cast("double") * x) * F.lit(sum(y * y for y in q))
-            out = F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) + (out - F.lit(1.0)) / F.sqrt(norms))
+            out = F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - prod / F.sqrt(norms))
     return F.when(F.size(vector) >= len(q), out).otherwise(distance(vector, vector_literal(q), m))
 
 
