@@ -26,7 +26,7 @@ def window_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines are compared without spaces at their ends. Windows of blank lines only are left out.
     """
-    one = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("h"), F.transform(F.split(df[text_col], "\n", -1), F.trim).alias("l"))
+    one = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("h"), F.transform(F.split(df[text_col], "\n", -1), lambda x: F.trim(x)).alias("l"))
     starts = F.when(F.size("l") >= WINDOW, F.sequence(F.lit(0), F.size("l") - WINDOW)).otherwise(F.array().cast("array<int>"))
     spread = one.select("id", "h", "l", F.explode(starts).alias("pos"))
     lines = [F.get("l", F.col("pos") + i) for i in range(WINDOW)]
