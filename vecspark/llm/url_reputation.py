@@ -38,7 +38,7 @@ def suffix_of(host: Column) -> Column:
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """The suffix and one label more; the host itself where there is none."""
-    rest = F.expr("substring(host, 1, length(host) - length(suffix) - 1)")
+    rest = host.substr(F.lit(1), F.length(host) - F.length(suffix) - 1)
     return F.when(F.length(host) > F.length(suffix) + 1, F.concat(F.regexp_extract(rest, r"([^.]+)$", 1), F.lit("."), suffix)).otherwise(host)
 
 
