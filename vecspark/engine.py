@@ -13,7 +13,7 @@ from vecspark.functions.codec import register_codec
 from vecspark.functions.distance import register_distances
 from vecspark.operators.index import VectorIndex
 from vecspark.plans import rewrite
-from vecspark.plans.session import prepare, shared_dir
+from vecspark.plans.session import cut, prepare, shared_dir
 from vecspark.sources.config import read_config
 from vecspark.sources.options import ColumnOptions, search_options
 from vecspark.streaming.cdc import CdcDisabled, follow
@@ -138,11 +138,12 @@ class Engine:
         return name
 
     def _is_ann(self, column: str, _: str, expression: str, options: str | None) -> str:
-        return self._view(self.ann(column, self._vector(expression), options))
+        near = self.ann(column, self._vector(expression), options)
+        return self._view(self.spark.createDataFrame(near.toArrow()))  # at most MAX_K rows, a local relation: one search serves all uses
 
     def _search(self, column: str, _: str, queries: str, options: str | None) -> str:
         rows = self.spark.table(queries).select(F.monotonically_increasing_id().alias("qid"), "searchvec")
-        return self._view(self.ann_batch(column, rows, options).select("id").distinct())
+        return self._view(cut(self.ann_batch(column, rows, options).select("id").distinct(), "near"))
 
     def _functions(self, sql: str) -> str:
         return re.sub(r"\b[A-Za-z]*vector_(?=construct|display|distance|is_valid|hamming_distance|quantize|dot)", "vec_", sql, flags=re.I)

@@ -86,14 +86,15 @@ def distance_to(vector: Column, query: Sequence[float], metric: str = "L2") -> C
     if m == "HAMMING" or len(q) > 256:
         return distance(vector, F.array(*[F.lit(int(x)) for x in query]) if m == "HAMMING" else vector_literal(q), m)
     at = [F.get(vector, F.lit(i)).cast("double") for i in range(len(q))]
+    zero = F.lit(0.0)
     if m == "L2":
-        out = total([(x - F.lit(y)) * (x - F.lit(y)) for x, y in zip(at, q, strict=True)])
-    else:
-        prod = total([x * F.lit(y) for x, y in zip(at, q, strict=True)])
-        out = F.lit(1.0) - prod
-        if m == "COSINE":
-            norms = F.aggregate(F.slice(vector, 1, len(q)), F.lit(0.0), lambda s, x: s + x.cast("double") * x) * F.lit(sum(y * y for y in q))
-            out = F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - prod / F.sqrt(norms))
+        return F.when(vector.isNotNull(), total([F.coalesce((x - F.lit(y)) * (x - F.lit(y)), zero) for x, y in zip(at, q, strict=True)]))
+    prod = total([F.coalesce(x * F.lit(y), zero) for x, y in zip(at, q, strict=True)])
+    if m == "IP":
+        return F.when(vector.isNotNull(), F.lit(1.0) - prod)
+    own = F.aggregate(F.slice(vector, 1, len(q)), zero, lambda s, x: s + x.cast("double") * x)
+    norms = own * F.lit(sum(y * y for y in q))
+    out = F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - prod / F.sqrt(norms))
     return F.when(F.size(vector) >= len(q), out).otherwise(distance(vector, vector_literal(q), m))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="vecspark-")
+        local = tempfile.mkdtemp(prefix="vecspark-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
 
