@@ -36,6 +36,8 @@ MIN_CHARS = 150
 MIN_WORDS = 20
 #: Fixed-point scale of histograms, so that sums don't depend on their order.
 SCALE = 1_000_000
+#: Bytes of text that are judged at once.
+SLICE_BYTES = 1 << 19
 #: Distinct words that a task gathers before it hands their counts on.
 GATHERED = 400_000
 
@@ -119,7 +121,7 @@ def common_words(df: DataFrame, id_col: str, text_col: str, lang_col: str, top:
             held.clear()
 
         for batch in batches:
-            for part in slices(batch.select(["lang", "text"]), "text"):
+            for part in slices(batch.select(["lang", "text"]), "text", SLICE_BYTES):
                 langs = part.column("lang")
                 for lang in pc.unique(langs).to_pylist():
                     texts = part.column("text").filter(pc.equal(langs, lang)).fill_null("")
@@ -184,7 +186,7 @@ def quality_rules(
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 chars, common, langs = histograms(part)
                 both = np.hstack([_shares(chars), _shares(common)])
                 names, at = np.unique(np.array(langs, object), return_inverse=True)
@@ -213,7 +215,7 @@ def quality_rules(
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "__text"):
+                for part in slices(batch, "__text", SLICE_BYTES):
                     said = judge(pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__text")], names=["lang", "text"]))[3]
                     yield part.filter(pa.array(said)).select(columns)
 
@@ -225,7 +227,7 @@ def quality_rules(
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 n, a, b, said = judge(part)
                 gone = part.column("text").is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64(), mask=gone), pa.array(a, mask=gone), pa.array(b, mask=gone), pa.array(said)], names=schema.names)
