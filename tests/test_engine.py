@@ -38,7 +38,7 @@ def test_rewriting_rules():
     assert R.rewrite_columns("CREATE TABLE t(v VECTOR(dim=3,track=upd), w vector(dim=4))") == "CREATE TABLE t(v ARRAY<FLOAT> COMMENT 'VECTOR Column |type=KNN,dim=3,track=upd', upd TIMESTAMP, w ARRAY<FLOAT> COMMENT 'VECTOR Column |type=KNN,dim=4')"
     for same in ("CREATE TABLE t(v VECTOR(type=KNN))", "CREATE TABLE t(v VECTOR(dim=1))", "CREATE TABLE t(v INT COMMENT 'VECTOR(dim=3)')", "CREATE TABLE t(v VECTOR(dim=3,x))"):
         assert R.rewrite_columns(same) == same
-    assert R.parse_call("CALL mysql.VECTOR_INDEX_BUILD('d.t.c', 'id');") == ("build", ["d.t.c", "id"])
+    assert R.parse_call("CALL tools.VECTOR_INDEX_BUILD('d.t.c', 'id');") == ("build", ["d.t.c", "id"])
     assert R.parse_call("CALL other('x')") is None
 
 
