@@ -28,7 +28,7 @@ def ids(df):
 
 def test_rewriting_rules():
     view = lambda *a: "near" + str(len(a[3] or ""))
-    q = "SELECT * FROM t WHERE MyVector_Is_Ann('d.t.c', 'id', vec_construct('[1,2]'), 'nn=3') AND note = 'VECTOR_IS_ANN(1,2,3)'"
+    q = "SELECT * FROM t WHERE OurVector_Is_Ann('d.t.c', 'id', vec_construct('[1,2]'), 'nn=3') AND note = 'VECTOR_IS_ANN(1,2,3)'"
     assert R.rewrite_is_ann(q, view) == "SELECT * FROM t WHERE (id IN (SELECT near_id FROM near4)) AND note = 'VECTOR_IS_ANN(1,2,3)'"
     for same in ("SELECT VECTOR_IS_ANN('a','b')", "SELECT VECTOR_IS_ANN('a','b',(c)", "SELECT VECTOR_IS_ANN(a,b,c,d,e)"):
         assert R.rewrite_is_ann(same, view) == same
