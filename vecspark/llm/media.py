@@ -36,6 +36,8 @@ def _basis() -> np.ndarray:
 
 #: Rows: frequencies in raster order; columns: samples. Orthonormal.
 DCT = _basis()
+#: The same with frequencies in zigzag order.
+ZIGZAG_DCT = DCT[ZIGZAG]
 
 
 def standard_tables() -> dict[int, tuple[bytes, bytes]]:
@@ -55,6 +57,9 @@ def standard_tables() -> dict[int, tuple[bytes, bytes]]:
     }
 
 
+STANDARD = standard_tables()
+
+
 def codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
     """(code, length, symbol) of a Huffman table, in order."""
     out, code, k = [], 0, 0
@@ -87,9 +92,10 @@ class BadFrame(ValueError):
     """A frame that isn't a baseline JPEG."""
 
 
-def _scan(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: int, restart: int, components: int) -> list[list[tuple[int, int]]]:
-    """Entropy-decode ``units`` minimum coded units; for each block its nonzero (zigzag place, value)."""
-    blocks = []
+def _scan(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: int, restart: int, components: int) -> tuple[list[int], list[int]]:
+    """Entropy-decode ``units`` minimum coded units: 64 times the block's number plus the zigzag place, and the value, of each coefficient."""
+    places, values = [], []
+    block = 0
     parts = []
     at = 0
     while True:  # restart markers stand alone; a stuffed zero follows any other 0xff
@@ -110,7 +116,6 @@ def _scan(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: int,
         last = [0] * components
         for _ in range(min(restart or units, units - done)):
             for c, dc, ac in plan:
-                found = []
                 k = 0
                 while k < 64:
                     while held < 32:
@@ -146,13 +151,14 @@ def _scan(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: int,
                         value = last[c]
                     if k > 63:
                         raise BadFrame("a block is too long")
-                    found.append((k, value))
+                    places.append(block + k)
+                    values.append(value)
                     k += 1
-                blocks.append(found)
+                block += 64
             done += 1
     if done < units:
         raise BadFrame("the frame ends too early")
-    return blocks
+    return places, values
 
 
 def decode_jpeg(data: bytes) -> list[np.ndarray]:
@@ -160,7 +166,7 @@ def decode_jpeg(data: bytes) -> list[np.ndarray]:
     if data[:2] != b"\xff\xd8":
         raise BadFrame("no JPEG")
     quant: dict[int, np.ndarray] = {}
-    tables = standard_tables()
+    tables = dict(STANDARD)
     frame, restart, at = None, 0, 2
     while True:
         if at + 4 > len(data) or data[at] != 0xFF:
@@ -212,25 +218,19 @@ def decode_jpeg(data: bytes) -> list[np.ndarray]:
             for x in range(h):
                 plan.append((c, dc, ac))
                 place.append((c, y, x))
-    blocks = _scan(data[at:], plan, across * down, restart, len(parts))
-    out = []
-    for c, (_, h, v, q) in enumerate(parts):
-        if q not in quant or len(quant[q]) != 64:
-            raise BadFrame("no quantisation table")
-        own = [i for i, p in enumerate(place) if p[0] == c]
-        number, where, value = [], [], []
-        for u in range(across * down):
-            for j, i in enumerate(own):
-                for k, x in blocks[u * len(place) + i]:
-                    number.append(u * len(own) + j)
-                    where.append(k)
-                    value.append(x)
-        freq = np.zeros((across * down * len(own), 64))
-        where = np.array(where)
-        freq[number, ZIGZAG[where]] = np.array(value) * quant[q][where]
-        cells = np.clip(np.rint(freq @ DCT + 128), 0, 255).reshape(down, across, v, h, 8, 8)
-        plane = cells.transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
-        out.append(plane[: -(-height * v // vmax), : -(-width * h // hmax)].astype(np.uint8))
+    if any(len(quant.get(q, ())) != 64 for *_, q in parts):
+        raise BadFrame("no quantisation table")
+    places, values = _scan(data[at:], plan, across * down, restart, len(parts))
+    freq = np.zeros((across * down, len(place), 64))
+    freq.ravel()[places] = values
+    steps = np.array([quant[parts[c][3]] for c, *_ in place])
+    cells = np.clip(np.rint((freq * steps).reshape(-1, 64) @ ZIGZAG_DCT + 128), 0, 255).astype(np.uint8).reshape(down, across, len(place), 8, 8)
+    out, first = [], 0
+    for _, h, v, _ in parts:
+        own = cells[:, :, first : first + h * v].reshape(down, across, v, h, 8, 8)
+        first += h * v
+        plane = own.transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
+        out.append(plane[: -(-height * v // vmax), : -(-width * h // hmax)])
     return out
 
 

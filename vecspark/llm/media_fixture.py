@@ -41,7 +41,11 @@ def encode_jpegs(planes: list[np.ndarray], tables: bool = False) -> list[bytes]:
     for c, p in enumerate(planes):
         cells = p.reshape(n, p.shape[1] // 8, 8, p.shape[2] // 8, 8).transpose(0, 1, 3, 2, 4).reshape(n, p.shape[1] // 8, p.shape[2] // 8, 64)
         freq = np.rint((cells - 128.0) @ DCT.T)[..., ZIGZAG]
-        order.append(np.rint(freq / QUANT).astype(np.int64).tolist())
+        whole = np.rint(freq / QUANT).astype(np.int64)
+        blocks = [[] for _ in range(whole.size // 64)]
+        for i, k, x in zip(*(a.tolist() for a in np.nonzero(whole.reshape(-1, 64)[:, 1:])), whole.reshape(-1, 64)[:, 1:][whole.reshape(-1, 64)[:, 1:] != 0].tolist(), strict=True):
+            blocks[i].append((k, x))
+        order.append((whole[..., 0].tolist(), blocks, whole.shape[1] * whole.shape[2], whole.shape[2]))
     head = b"\xff\xd8\xff\xdb" + struct.pack(">HB", 67, 0) + bytes(QUANT.tolist())
     if tables:
         for k, (counts, symbols) in standard_tables().items():
@@ -58,24 +62,21 @@ def encode_jpegs(planes: list[np.ndarray], tables: bool = False) -> list[bytes]:
                     s = size if c == 0 else 1
                     for dy in range(s):
                         for dx in range(s):
-                            b = order[c][f][y * s + dy][x * s + dx]
+                            first, blocks, each, wide = order[c]
+                            level = first[f][y * s + dy][x * s + dx]
                             table = min(c, 1)
-                            diff, last[c] = b[0] - last[c], b[0]
+                            diff, last[c] = level - last[c], level
                             k = abs(diff).bit_length()
                             said.append(_ENCODE[table][k] + _bits(k, diff))
-                            run = 0
-                            ac = _ENCODE[0x10 | table]
-                            for v in b[1:]:
-                                if not v:
-                                    run += 1
-                                    continue
+                            ac, at = _ENCODE[0x10 | table], 0
+                            for i, v in blocks[f * each + (y * s + dy) * wide + x * s + dx]:
+                                run, at = i - at, i + 1
                                 while run > 15:
                                     said.append(ac[0xF0])
                                     run -= 16
                                 k = abs(v).bit_length()
                                 said.append(ac[run << 4 | k] + _bits(k, v))
-                                run = 0
-                            if run:
+                            if at < 63:
                                 said.append(ac[0])
         text = "".join(said)
         text += "1" * (-len(text) % 8)
