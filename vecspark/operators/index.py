@@ -23,7 +23,7 @@ from vecspark.sources.options import ColumnOptions
 from vecspark.sources.versions import Versions
 
 #: Vectors that a graph shard should hold.
-SHARD_ROWS = 100_000
+SHARD_ROWS = 500
 #: Rows of the training sample of IVF centroids, at most, for each list.
 SAMPLE_PER_LIST = 256
 
@@ -90,7 +90,7 @@ class VectorIndex:
             g = Graph(v.shape[1], metric, o.m, o.ef).build(t["id"].to_numpy(), v)
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(g.ids)], pa.int64()), pa.array([g.dump()], pa.binary())], names=["shard", "n", "graph"])
 
-        return ready.groupBy("shard").applyInArrow(build, "shard int, n long, graph binary")
+        return ready.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, n long, graph binary")
 
     def _write_ivf(self, vectors: DataFrame, base: str, parent: int, state: dict) -> dict:
         """Vectors in folders by their nearest centroid; centroids by k-means on a bounded sample."""
