@@ -36,6 +36,24 @@ def test_single_and_batch(spark, data, metric):
     assert [r.id for r in K.knn_to_row(df, df.where("id = 3").select("vec"), 2).collect()] == [3, 7]
 
 
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE", "HAMMING"])
+def test_batch_ties_by_id(spark, metric):
+    rng = np.random.default_rng(5)
+    n, k = 600, 5
+    v = rng.integers(0, 4, size=(n, 2)) if metric == "HAMMING" else rng.normal(size=(n, 16)).astype(np.float32)
+    v[rng.choice(n, 60, replace=False)] = v[0]
+    ids = rng.permutation(n)
+    kind = "bigint" if metric == "HAMMING" else "float"
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], f"id long, vec array<{kind}>").coalesce(1)
+    got = {}
+    for r in K.knn_batch(df, df.select(F.col("id").alias("qid"), F.col("vec").alias("searchvec")), k, metric).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id))
+    for q, x in zip(ids.tolist(), v, strict=True):
+        d = np.bitwise_count(v ^ x).sum(axis=1) if metric == "HAMMING" else brute(v.astype(float), x.astype(float), metric)
+        want = ids[np.lexsort((ids, np.round(d.astype(float), 9)))[:k]].tolist()
+        assert [i for _, i in sorted(got[q])] == want
+
+
 def test_edges(spark, data):
     v, df = data
     q = v[0].tolist()

@@ -19,6 +19,8 @@ from vecspark.sources.options import metric as canonical
 
 #: Queries that one pass over the vectors answers; their block travels as a broadcast variable.
 QUERY_BLOCK = 4096
+#: Pairs of a query and a candidate whose exact distances a task takes at once.
+PAIRS = 1 << 16
 
 
 def knn(df: DataFrame, query: Sequence[float], k: int = 10, metric: str = "L2", id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -81,6 +83,33 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norm == 0, 1.0, 1.0 - prod / np.where(norm == 0, 1.0, norm))
 
 
+def _slack(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """For each query twice what rounding can make of a distance of :func:`_distances`, generously."""
+    if metric == "HAMMING" or not len(v):
+        return np.zeros(len(q))
+    eps = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+    if metric == "COSINE":
+        return np.full(len(q), eps)
+    qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1).max())
+    return eps * ((qn + vn) ** 2 if metric == "L2" else 1.0 + qn * vn)
+
+
+def _candidates(q: np.ndarray, v: np.ndarray, metric: str, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of ``q``, rows of ``v``) in parts of about ``PAIRS``, a query's all in one part: whatever
+    may be among the ``k`` nearest of a query, with all that are as far as the last of them."""
+    d = _distances(q, v, metric)
+    if k < len(v):
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] + _slack(q, v, metric)
+        near = ~(d > bound[:, None])  # where the bound is no number, all
+    else:
+        near = np.ones(d.shape, bool)
+    part = np.cumsum(near.sum(axis=1)) // PAIRS
+    cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
+        row, col = np.nonzero(near[a:b])
+        yield row + a, col
+
+
 def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
     """Arrays of one length, without nulls, as rows."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -91,7 +120,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2"
     """Rows (``query_id``, ``rank`` from 1, ``id_col``, ``distance``) for each query.
 
     Queries are taken in blocks of a fixed size. For a block each task multiplies its vectors with the
-    queries and keeps the ``k`` nearest of each; a window over those survivors gives the result, so
+    queries and keeps the ``k`` nearest of each, ties by id however many there are; a window over those survivors gives the result, so
     what is shuffled is ``k`` rows for each query and task and never a vector.
     """
     m = canonical(metric)
@@ -111,13 +140,11 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2"
                 for start in range(0, whole.num_rows, 2048):
                     b = whole.slice(start, 2048)
                     v = _matrix(b.column("vec"), kind)
-                    d = _distances(q, v, m)
-                    keep = min(len(v), k + 8)
-                    col = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < len(v) else np.tile(np.arange(len(v)), (len(q), 1))
-                    row = np.repeat(np.arange(len(q)), keep)
-                    col = col.ravel()
-                    t = pa.table([pa.array(row), b.column("id").take(pa.array(col)), pa.array(_exact(q[row], v[col], m))], names=["__q", "__id", "distance"])
-                    best = _top(t if best is None else pa.concat_tables([best, t]), k)
+                    own = [] if best is None else [best]
+                    for row, col in _candidates(q, v, m, k):
+                        t = pa.table([pa.array(row), b.column("id").take(pa.array(col)), pa.array(_exact(q[row], v[col], m))], names=["__q", "__id", "distance"])
+                        own.append(_top(t, k))
+                    best = _top(pa.concat_tables(own), k)
             if best is not None:
                 yield from best.to_batches()
 
