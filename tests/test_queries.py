@@ -35,6 +35,13 @@ def test_recall(spark, sf_dir, name, exact, least):
     assert len(want & got) >= least * len(want)
 
 
+def test_recall_of_some_lists(spark, sf_dir):
+    rows = QUERIES["ivf_partial_probe"](spark, sf_dir).collect()
+    want = {(r.qid, r.id) for r in QUERIES["knn_batch_l2"](spark, sf_dir).collect()}
+    assert len({(r.qid, r.id) for r in rows}) == len(rows) == len(want)
+    assert len(want & {(r.qid, r.id) for r in rows}) >= 0.95 * len(want)
+
+
 def test_entry_imports_and_names():
     import __spark_entry__ as e
 

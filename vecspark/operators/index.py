@@ -24,8 +24,8 @@ from vecspark.sources.versions import Versions
 
 #: Vectors that a graph shard should hold.
 SHARD_ROWS = 500
-#: Rows of the training sample of IVF centroids, at most, for each list.
-SAMPLE_PER_LIST = 256
+#: Rows as IVF indexes store them: ``home`` is the list of the nearest centroid, ``centroid`` the list a copy lies in.
+IVF_ROWS = "id long, vec array<float>, home int, centroid int"
 
 
 class IndexError_(RuntimeError):
@@ -93,7 +93,11 @@ class VectorIndex:
         return ready.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, n long, graph binary")
 
     def _write_ivf(self, vectors: DataFrame, base: str, parent: int, state: dict) -> dict:
-        """Vectors in folders by their nearest centroid; centroids by k-means on a bounded sample."""
+        """Vectors in folders by their two nearest centroids; centroids by k-means on all rows.
+
+        Neighbours across the border of two lists are the ones that a search of few lists loses; a copy
+        in the second list lets it find them.
+        """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -103,11 +107,9 @@ class VectorIndex:
         saved = self.spark.read.schema("id long, vec array<float>").parquet(raw)
         rows = self._checked(saved.count())
         lists = max(1, min(o.nlist, rows))
-        share = min(1.0, lists * SAMPLE_PER_LIST / max(1, rows))
-        sample = saved if share == 1 else saved.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
         centres = np.zeros((0, o.dim))
         if rows:
-            fit = KMeans(k=lists, seed=7, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector(F.col("vec")).alias("f")))
+            fit = KMeans(k=lists, seed=7, maxIter=10, featuresCol="f").fit(saved.select(array_to_vector(F.col("vec")).alias("f")))
             centres = np.array(fit.clusterCenters())
         shared = self.spark.sparkContext.broadcast(centres)
 
@@ -117,10 +119,11 @@ class VectorIndex:
                 if not b.num_rows:
                     continue
                 v = np.array(b.column("vec").to_pylist(), np.float64)
-                near = ((c * c).sum(axis=1)[None, :] - 2 * v @ c.T).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(near, pa.int32())], names=["id", "vec", "centroid"])
+                near = ((c * c).sum(axis=1)[None, :] - 2 * v @ c.T).argsort(axis=1, kind="stable")[:, :2]
+                for copy in near.T:
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(near[:, 0], pa.int32()), pa.array(copy, pa.int32())], names=["id", "vec", "home", "centroid"])
 
-        placed = saved.mapInArrow(place, "id long, vec array<float>, centroid int")
+        placed = saved.mapInArrow(place, IVF_ROWS)
         placed.repartition("centroid").write.partitionBy("centroid").parquet(base)
         folder = self.versions.fresh()
         schema = "centroid int, centre array<double>"
@@ -172,8 +175,15 @@ class VectorIndex:
     def vectors(self) -> DataFrame:
         """All (id, vec) of the open version."""
         self._need()
+        if self.options.type == "IVF":
+            return self._copies().where("home = centroid").select("id", "vec")
         return self.spark.read.schema("id long, vec array<float>").parquet(self.manifest["folders"][0])
 
+    def _copies(self) -> DataFrame:
+        """The rows of all lists; an index without copies has only those at home."""
+        rows = self.spark.read.schema(IVF_ROWS).parquet(self.manifest["folders"][0])
+        return rows.withColumn("home", F.coalesce("home", "centroid"))
+
     def upsert(self, rows: DataFrame, **state) -> dict:
         """Add (id, vec) rows; ids that exist are replaced."""
         self._need()
@@ -235,7 +245,7 @@ class VectorIndex:
                 return knn(self.vectors(), query, k, self.options.dist).select("id", "distance")
             c = np.array(centres["centre"].tolist())
             near = np.argsort(((c - np.asarray(query, float)) ** 2).sum(axis=1), kind="stable")[:lists].tolist()
-            part = self.spark.read.schema("id long, vec array<float>, centroid int").parquet(self.manifest["folders"][0]).where(F.col("centroid").isin(near))
+            part = self._copies().where(F.col("centroid").isin(near) & ((F.col("home") == F.col("centroid")) | ~F.col("home").isin(near)))
             return knn(part, query, k, self.options.dist).select("id", "distance")
         one = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, searchvec array<float>")
         return self.search_batch(one, k, effort).orderBy("distance", "id").limit(k).select("id", "distance")
@@ -251,9 +261,12 @@ class VectorIndex:
             lists = effort or max(1, min(o.nlist, o.ef_search))
             centres = self._folder(1)
             probes = queries.join(F.broadcast(centres)).withColumn("__d", distance(F.col("centre"), F.col(query_vec).cast("array<double>"), "L2"))
-            probes = probes.withColumn("__r", F.row_number().over(Window.partitionBy(query_id).orderBy("__d", "centroid"))).where(F.col("__r") <= lists).select(query_id, query_vec, "centroid")
-            own = self.spark.read.schema("id long, vec array<float>, centroid int").parquet(self.manifest["folders"][0])
-            found = own.join(probes, "centroid").select(query_id, "id", distance(F.col("vec"), F.col(query_vec), o.dist).alias("distance"))
+            probes = probes.withColumn("__r", F.row_number().over(Window.partitionBy(query_id).orderBy("__d", "centroid"))).where(F.col("__r") <= lists)
+            read = F.collect_list("centroid").over(Window.partitionBy(query_id).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            probes = probes.select(query_id, query_vec, "centroid", read.alias("__read"))
+            # a copy counts only for queries that don't read the row's own list
+            once = (F.col("home") == F.col("centroid")) | ~F.array_contains("__read", F.col("home"))
+            found = self._copies().join(probes, "centroid").where(once).select(query_id, "id", distance(F.col("vec"), F.col(query_vec), o.dist).alias("distance"))
             return found.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, "rank", "id", "distance")
         metric, beam = self.metric, effort or o.ef_search
         ready = queries.where(F.col(query_vec).isNotNull()).select(query_id, quantize(F.col(query_vec)).alias("v") if metric == "HAMMING" else F.col(query_vec).alias("v"))
