@@ -42,6 +42,12 @@ def test_recall_of_some_lists(spark, sf_dir):
     assert len(want & {(r.qid, r.id) for r in rows}) >= 0.95 * len(want)
 
 
+def test_whole_vectors_are_parsed_and_displayed(spark, sf_dir):
+    rows = QUERIES["construct_parse_whole"](spark, sf_dir).groupBy("id", "form").count().collect()
+    assert {r["count"] for r in rows} == {64} and len(rows) == 4 * len({r.id for r in rows})
+    assert all(r.text.count(",") == 63 for r in QUERIES["display_prec_whole"](spark, sf_dir).collect())
+
+
 def test_entry_imports_and_names():
     import __spark_entry__ as e
 

@@ -66,18 +66,18 @@ def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT a.id, round(vec_dot(a.vec, b.vec), 6) AS dot FROM v_dot a, (SELECT vec FROM v_dot WHERE id = 0) b")
 
 
-def construct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector written in four forms is parsed again; positions and values."""
+def construct_parse(dims: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ``dims`` values of each vector, written in four forms, are parsed again; positions and values."""
     engine(spark)
-    text = "array_join(transform(slice(vec, 1, 4), x -> CAST(CAST(x AS DECIMAL(10,4)) AS STRING)), ', ')"
+    text = f"array_join(transform(slice(vec, 1, {dims}), x -> CAST(CAST(x AS DECIMAL(10,4)) AS STRING)), ', ')"
     forms = vectors(spark, sf_dir).selectExpr("id", f"concat('[', {text}, ' ]') AS a", f"concat('{{', {text}, '}}') AS b", f"concat('(', {text}, ')') AS c", f"{text} AS d", f"concat('[', {text}) AS e")
     long = forms.selectExpr("id", "stack(5, 0, a, 1, b, 2, c, 3, d, 4, e) AS (form, s)")
     return long.selectExpr("id", "form", "vec_construct(s) AS v").selectExpr("id", "form", "posexplode(v) AS (pos, value)").withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
-def display_prec(spark: SparkSession, sf_dir: str) -> DataFrame:
+def display_prec(dims: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     engine(spark)
-    return vectors(spark, sf_dir).selectExpr("id", "vec_display(slice(vec, 1, 8), 4) AS text")
+    return vectors(spark, sf_dir).selectExpr("id", f"vec_display(slice(vec, 1, {dims}), 4) AS text")
 
 
 def is_valid_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_truncated": dist_truncated,
     "dist_zero_vector": dist_zero_vector,
     "dot_product": dot_product,
-    "construct_parse": construct_parse,
-    "display_prec": display_prec,
+    "construct_parse": partial(construct_parse, 4),
+    "construct_parse_whole": partial(construct_parse, DIM),
+    "display_prec": partial(display_prec, 8),
+    "display_prec_whole": partial(display_prec, DIM),
     "is_valid_dim": is_valid_dim,
     "bytes_round_trip": bytes_round_trip,
     "sq_binary_words": sq_binary_words,
@@ -312,7 +314,9 @@ ORACLE_SQL: dict[str, str] = {
     "dist_zero_vector": f"SELECT id, 1.0::DOUBLE AS distance FROM {_V}",
     "dot_product": f"SELECT id, round(list_inner_product(vec, q), 6) AS dot FROM {_V}, {_Q}",
     "construct_parse": "SELECT vec_id AS id, form::INTEGER AS form, (p - 1)::INTEGER AS pos, round(embedding[p]::DECIMAL(10,4)::FLOAT::DOUBLE, 4) AS value FROM embeddings, range(4) f(form), range(1, 5) r(p)",
+    "construct_parse_whole": "SELECT vec_id AS id, form::INTEGER AS form, (p - 1)::INTEGER AS pos, round(embedding[p]::DECIMAL(10,4)::FLOAT::DOUBLE, 4) AS value FROM embeddings, range(4) f(form), range(1, 65) r(p)",
     "display_prec": "SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding[1:8], lambda x: format('{:.4g}', x)), ', ') || ']' AS text FROM embeddings",
+    "display_prec_whole": "SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.4g}', x)), ', ') || ']' AS text FROM embeddings",
     "is_valid_dim": "SELECT vec_id AS id, embedding IS NOT NULL AND len(embedding) = 64 AS ok64, embedding IS NOT NULL AND len(embedding) = 63 AS ok63, false AS ok_null FROM embeddings",
     "bytes_round_trip": "SELECT vec_id AS id, len(embedding) = 64 AS ok, (len(embedding) * 4 + 8)::INTEGER AS n_bytes, true AS same FROM embeddings",
     "sq_binary_words": f"SELECT id, (list_sum(list_transform(range(2, 65), lambda i: CASE WHEN vec[i] > 0 THEN (1::HUGEINT << (64 - i)::INTEGER) ELSE 0::HUGEINT END)) - CASE WHEN vec[1] > 0 THEN 9223372036854775808::HUGEINT ELSE 0::HUGEINT END)::BIGINT AS word FROM {_V}",
