@@ -172,10 +172,11 @@ def is_ann_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT id, label, round(vec_row_distance(id), 6) AS distance FROM v_is_ann WHERE VECTOR_IS_ANN('t.v.vec', 'id', (SELECT vec FROM v_is_ann WHERE id = 0), 'nn=20') AND label < 5")
 
 
-def search_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_rewrite(condition: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are a neighbour of any vector that meets the condition."""
     e, _, df = built(spark, sf_dir, f"type=KNN,dim={DIM}")
     df.createOrReplaceTempView("v_search")
-    df.where("label = 1").select(F.col("vec").alias("searchvec")).createOrReplaceTempView("v_queries")
+    df.where(condition).select(F.col("vec").alias("searchvec")).createOrReplaceTempView("v_queries")
     return e.sql("SELECT id, label FROM VECTOR_SEARCH[v_search, id, t.v.vec, v_queries, nn=3]")
 
 
@@ -268,7 +269,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_distance_sentinel": row_distance_sentinel,
     "ann_set_json": ann_set_json,
     "is_ann_rewrite": is_ann_rewrite,
-    "search_rewrite": search_rewrite,
+    "search_rewrite": partial(search_rewrite, "label = 1"),
+    "search_rewrite_all": partial(search_rewrite, "true"),
     "ivf_full_probe": partial(index_batch, f"type=IVF,dim={DIM},nlist=16", 5, 16),
     "ivf_partial_probe": partial(index_batch, f"type=IVF,dim={DIM},nlist=16", 5, 8),
     "hnsw_search": partial(index_batch, f"type=HNSW,dim={DIM},M=16,ef=100", 10, 100),
@@ -338,6 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "ann_set_json": f"SELECT '[' || string_agg(id::VARCHAR, ',' ORDER BY d, id) || ']' AS ids FROM (SELECT id, {_d('L2')} AS d FROM {_V}, {_Q} ORDER BY d, id LIMIT 10)",
     "is_ann_rewrite": f"SELECT * FROM ({_knn('L2', 20, '', 'id, label')}) WHERE label < 5",
     "search_rewrite": f"SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT id FROM ({_batch('L2', 3)}) WHERE qid IN (SELECT vec_id FROM embeddings WHERE label = 1))",
+    "search_rewrite_all": f"SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT id FROM ({_batch('L2', 3)}))",
     "ivf_full_probe": _batch("L2", 5),
     "index_status": f"SELECT 't.v.vec' AS name, 'KNN' AS type, {DIM} AS dim, 'COSINE' AS metric, count(*) AS n_rows, 1::BIGINT AS version FROM embeddings",
     "vector_columns": "SELECT 'vecspark_words' AS tbl, 'wordvec' AS col, 'type=HNSW,dim=50,m=8' AS options",
