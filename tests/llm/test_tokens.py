@@ -124,3 +124,12 @@ def test_tables(spark, raw):
     assert T.token_counts(df.limit(0), raw).count() == C.spm_encode(df.limit(0), raw).count() == C.spm_decode(enc.limit(0), raw).count() == 0
     with pytest.raises(Exception, match="outside the vocabulary"):
         C.spm_decode(spark.createDataFrame([(1, [99_999_999])], "doc_id long, ids array<int>"), raw).collect()
+
+
+def test_round_trip_compares_whole_texts(spark, raw):
+    rows = [(1, "plain text\nof two lines"), (2, "a literal \u2581 mark"), (3, "  spaces  kept "), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    enc = C.spm_encode(df, raw).cache()
+    back = {r.doc_id: r.text for r in C.spm_decode(enc, raw).collect()}
+    said = {r.doc_id: r.roundtrip_ok for r in enc.collect()}
+    assert said == {d: back[d] == t for d, t in rows} and said[1] and not said[2] and said[4]
