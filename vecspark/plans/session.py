@@ -52,11 +52,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table that was written.
 
     Later reads neither recompute the lineage nor depend on an executor's disk, and the planner
-    knows the table's size.
+    knows the table's size. The table goes with :func:`release`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecspark_path = path
     return out
@@ -68,11 +71,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that nothing reads any more."""
-    path = getattr(df, "_vecspark_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_vecspark_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed to c0, c1, ...; so no name of a caller's column can clash or need quoting."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def position(df: DataFrame, name: str) -> str:
+    """The name in :func:`positional` of the column ``name``; an exact match goes before one in another case."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name!r}")
+    return f"c{found[0]}"
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:
