@@ -137,6 +137,7 @@ def sorted_trie_counts(words: list[str], table: PieceTable, unknown: float, byte
     same[0] = False
     if n > 1:
         np.logical_and.accumulate(chars[1:, :width] == chars[:-1, :width], axis=1, out=same[1:, 1:])
+        same[1:, 1:] &= size[:-1, None] >= np.arange(1, width + 1)  # the filling of a shorter row is no character
     prefix = np.zeros((width + 1, n), np.uint64)
     for i in range(width):
         prefix[i + 1] = prefix[i] * table.BASE + chars[:, i] + np.uint64(1)
@@ -220,9 +221,10 @@ def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     """One row (``id_col``, ``n_tokens``) for each row of ``df``.
 
     ``model`` is the content of a SentencePiece model file; it travels as a broadcast variable and
-    its size doesn't depend on the data. A null text has a null count, an empty one 0. Repeated
-    rows and null ids are counted row by row; other columns are not read. An empty table gives an
-    empty table.
+    its size doesn't depend on the data. A null text has a null count, an empty one 0. Very long texts
+    are counted whole. Of equally good segmentations the one with the longest last piece counts, at
+    each prefix. Repeated rows and null ids are counted row by row; other columns are not read, whatever
+    their names. An empty table gives an empty table.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
