@@ -3,9 +3,9 @@
 The model protobuf is parsed and rebuilt (normaliser, metaspace marker, scores or merges, byte
 fallback; see :mod:`vecspark.llm.spm_model`). No piece crosses the start of a run of markers or a
 line feed, so a worker encodes the distinct pre-tokens of a slice of documents in one multithreaded
-batch and joins their ids document by document. Every distinct pre-token is also encoded by the
-SentencePiece library, so parity is verified for whole texts; the ids of each document are decoded
-again and compared with its text.
+batch and joins their ids document by document. The SentencePiece library encodes every raw text too,
+so parity is verified for whole texts, normaliser and cutting included; the ids of each document are
+decoded again and compared with its text.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from vecspark.llm.spm_model import UNDERLINE, SpmModel, distinct_pre_tokens
 MAX_WORDS = 250_000
 #: Pre-tokens that are joined by line feeds and encoded as one text, to spare the library's cost of a text.
 JOINED = 128
+#: Threads that a task encodes and decodes its batches with, or ``spark.task.cpus`` where that is more.
+THREADS = 2
 
 
 class Codec:
     """Encoder and decoder with the ids of recent pre-tokens kept between calls."""
 
-    def __init__(self, raw: bytes, threads: int = 1):
+    def __init__(self, raw: bytes, threads: int = THREADS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -41,10 +43,9 @@ class Codec:
         self.words = self.model.tokenizer(normalise=False)
         self.texts = self.model.tokenizer()
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.head = self.reference.encode("\n")
         line = self.words.encode("\n", add_special_tokens=False).ids
         #: The id of a line feed where it always stands alone, so that it can part joined pre-tokens.
-        self.line = line[0] if self.model.separable and len(line) == 1 and self.head[-1:] == line else None
+        self.line = line[0] if self.model.separable and len(line) == 1 and line[0] != self.model.unk_id else None
         self.clear()
 
     def clear(self) -> None:
@@ -52,8 +53,6 @@ class Codec:
         self.flat = np.zeros(0, np.int32)
         self.length = np.zeros(1, np.int64)
         self.start = np.zeros(1, np.int64)
-        self.parity = np.ones(1, bool)
-        self.whole = np.ones(1, bool)
         self.hits = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
@@ -62,55 +61,40 @@ class Codec:
         keep[0] = True
         names = [w for w, k in zip(self.index, keep.tolist(), strict=True) if k]
         self.flat = self.flat[np.repeat(keep, self.length)]
-        self.length, self.parity, self.whole, self.hits = self.length[keep], self.parity[keep], self.whole[keep], self.hits[keep]
+        self.length, self.hits = self.length[keep], self.hits[keep]
         self.start = np.cumsum(self.length) - self.length
         self.index = {w: i for i, w in enumerate(names)}
 
     def _learn(self, new: list[str]) -> None:
-        """Encode pre-tokens in one multithreaded batch, and check each against the reference and the decoder."""
+        """Encode pre-tokens in one multithreaded batch."""
         apart = [w for w in new if "\n" in w or self.line is None]
         together = [w for w in new if "\n" not in w] if self.line is not None else []
-        flats, lengths, parity, whole = [], [], [], []
+        flats, lengths = [], []
         groups = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
         given = [e.ids for e in self.words.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)]
-        said = self.reference.encode(["\n" + "\n".join(g).replace(UNDERLINE, " ") for g in groups], num_threads=self.threads)
-        back = self.words.decode_batch(given, skip_special_tokens=False)
-        for g, ids, ref, text in zip(groups, given, said, back, strict=True):
-            ids = np.array(ids, np.int32)
+        for g, got in zip(groups, given, strict=True):
+            ids = np.array(got, np.int32)
             gap = np.flatnonzero(ids == self.line)
-            if len(gap) != len(g) - 1 or ids.tolist() != ref[len(self.head) :] or text != "\n".join(g).replace(UNDERLINE, " "):
+            if len(gap) != len(g) - 1:
                 apart += g
                 continue
             lengths.append(np.diff(np.concatenate([[-1], gap, [len(ids)]])) - 1)
             flats.append(np.delete(ids, gap))
-            parity.append(np.ones(len(g), bool))
-            whole.append(np.ones(len(g), bool))
             for w in g:
                 self.index[w] = len(self.index)
         if apart:
             ids = [e.ids for e in self.words.encode_batch_fast(apart, add_special_tokens=False)]
-            again = self.words.decode_batch(ids, skip_special_tokens=False)
             flats.append(np.array([i for x in ids for i in x], np.int32))
             lengths.append(np.array([len(x) for x in ids]))
-            parity.append(np.array([a == b for a, b in zip(ids, self._reference(apart), strict=True)]))
-            whole.append(np.array([w.replace(UNDERLINE, " ") == t for w, t in zip(apart, again, strict=True)]))
             for w in apart:
                 self.index[w] = len(self.index)
         self.flat = np.concatenate([self.flat, *flats])
         self.length = np.concatenate([self.length, *lengths]).astype(np.int64)
-        self.parity = np.concatenate([self.parity, *parity])
-        self.whole = np.concatenate([self.whole, *whole])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.start = np.cumsum(self.length) - self.length
 
-    def _reference(self, new: list[str]) -> list[list[int]]:
-        """Ids by the SentencePiece library for pre-tokens, encoded behind a line feed whose ids are taken off
-        again, since the library adds the dummy prefix to every text."""
-        out = self.reference.encode(["\n" + w.replace(UNDERLINE, " ") for w in new], num_threads=self.threads)
-        return [ids[len(self.head) :] for ids in out]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in one array, the end of each text in it, and per text parity and round trip."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the end of each text in it."""
         ends, at, words = distinct_pre_tokens(self.model, texts)
         if len(self.index) + len(words) > MAX_WORDS:
             self._forget()
@@ -123,9 +107,12 @@ class Codec:
         stop = np.cumsum(length)
         total = int(stop[-1]) if len(stop) else 0
         ids = self.flat[np.repeat(self.start[at] - (stop - length), length) + np.arange(total)] if total else np.zeros(0, np.int32)
-        bound = np.concatenate([[0], stop])[ends]
-        bad = lambda flags: np.diff(np.concatenate([[0], np.cumsum(~flags[at])])[np.concatenate([[0], ends])]) == 0
-        return ids, bound, bad(self.parity), bad(self.whole)
+        return ids, np.concatenate([[0], stop])[ends]
+
+    def check(self, texts: list[str], ids: list[list[int]]) -> tuple[list[bool], list[bool]]:
+        """For each text whether the SentencePiece library gives these ids for the raw text, and whether decoding gives it again."""
+        parity = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=self.threads), strict=True)]
+        return parity, [a == b for a, b in zip(texts, self.decode(ids), strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.texts.decode_batch(ids, skip_special_tokens=True)
@@ -134,7 +121,7 @@ class Codec:
 _CODECS: dict[tuple[bytes, int], Codec] = {}
 
 
-def codec(raw: bytes, threads: int = 1) -> Codec:
+def codec(raw: bytes, threads: int = THREADS) -> Codec:
     key = (sha1(raw).digest(), threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -143,17 +130,19 @@ def codec(raw: bytes, threads: int = 1) -> Codec:
 
 
 def _threads(df: DataFrame) -> int:
-    return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    return max(THREADS, int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
 
 
 def spm_encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (``id_col``, ``ids``, ``n_tokens``, ``parity_ok``, ``roundtrip_ok``), one for each row of ``df``.
 
-    ``ids`` are those of the whole text without special tokens. ``parity_ok`` tells that the
-    SentencePiece library gives the same ids, ``roundtrip_ok`` that decoding gives the text again.
-    A null text has null in all columns but the id; an empty text has no ids, and both checks hold.
-    Repeated rows and null ids are encoded row by row; other columns are not read. ``model`` is the
-    content of the model file, whose size doesn't depend on the data. Threads: ``spark.task.cpus``.
+    ``ids`` are those of the whole text, however long, without special tokens. ``parity_ok`` tells that
+    the SentencePiece library gives the same ids for the raw text, ``roundtrip_ok`` that decoding gives
+    the text again: it doesn't where the model's normaliser changes the text, or where a text holds the
+    marker itself. A null text has null in all columns but the id; an empty text has no ids, and both
+    checks hold. Repeated rows and null ids are encoded row by row; other columns are not read, whatever
+    their names. ``model`` is the content of the model file, whose size doesn't depend on the data. A
+    task uses ``THREADS`` threads, or ``spark.task.cpus`` if that is more. An empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     threads = _threads(df)
@@ -172,14 +161,14 @@ def spm_encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")
-                ids, ends, parity, whole = c.encode(texts)
+                ids, ends = c.encode(texts)
                 gone = texts.is_null().to_numpy(zero_copy_only=False)
                 starts = np.concatenate([[0], ends]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.int32()), mask=pa.array(gone))
-                again = c.decode([ids[a:b].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
-                whole = np.array([a == b for a, b in zip(again, texts.to_pylist(), strict=True)], bool)
+                each = [ids[a:b].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                parity, whole = c.check(texts.fill_null("").to_pylist(), each)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), lists, pa.array(np.diff(starts), pa.int32(), mask=gone), pa.array(parity, mask=gone), pa.array(whole, mask=gone)],
+                    [part.column("id"), lists, pa.array(np.diff(starts), pa.int32(), mask=gone), pa.array(np.array(parity, bool), mask=gone), pa.array(np.array(whole, bool), mask=gone)],
                     names=schema.names,
                 )
 

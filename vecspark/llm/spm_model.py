@@ -58,17 +58,23 @@ class SpmModel:
         return {p: -math.log(r) - total for r, (_, _, p) in enumerate(own, 1)}
 
     def normalizer(self):
-        """The rebuilt normaliser: character map, white space, dummy prefix and metaspace marker."""
+        """The rebuilt normaliser: character map, white space, dummy prefix and metaspace marker.
+
+        Squeezing leaves out spaces in front and repeated ones, and markers at the end even where the
+        text itself has them, as the SentencePiece library does.
+        """
         from tokenizers import Regex, normalizers
 
         steps = []
         if self.charsmap:
             steps.append(normalizers.Precompiled(self.charsmap))
         if self.squeeze_spaces:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(UNDERLINE))
         steps.append(normalizers.Replace(" ", UNDERLINE))
+        if self.squeeze_spaces:
+            steps.append(normalizers.Replace(Regex(UNDERLINE + r"+\z"), ""))
         return normalizers.Sequence(steps)
 
     def backend(self):
