@@ -15,8 +15,15 @@ ROOT = str(Path(__file__).resolve().parents[2])
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+#: Bytes of the batches that Python workers get, set where the session has Spark's own value: with long texts
+#: the usual 64 MB, held by the JVM and the worker several times over, is most of a small executor.
+BATCH_CONF, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b", "67108864b"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it runs from a source checkout."""
+    """Let Python workers import this package when it runs from a source checkout, and bound their batches."""
+    if spark.conf.get(BATCH_CONF, None) == SPARK_BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
