@@ -17,17 +17,10 @@ def js(p, q):
 def kind(ch):
     import unicodedata
 
-    if ch in " \t\n\r\f\v":
-        return 3
-    if "0" <= ch <= "9":
-        return 2
-    if unicodedata.category(ch) == "Lu":
-        return 1
-    if ch in "|!":
-        return 5 if ch == "|" else 6
-    if ch in ".,;:?'\"()-":
-        return 4
-    return 7 if 32 < ord(ch) < 127 and not ch.isalnum() else 0
+    c = unicodedata.category(ch)
+    if c[0] == "Z" or ch in "\t\n\r\f\v":
+        return "space"
+    return {"Lu": "upper", "Lt": "upper", "Ll": "lower", "Lo": "letter", "Lm": "letter"}.get(c, c[0])
 
 
 def brute(rows):
@@ -62,7 +55,7 @@ def corpus():
     rng = random.Random(1)
     vocab = [f"w{i}é" for i in range(60)]
     rows = [(i, "en" if i % 2 else None, " ".join(rng.choices(vocab, [1 / (j + 1) for j in range(60)], k=rng.randint(5, 300)))) for i in range(60)]
-    return rows + [(100, "en", "SHOUT!! " * 60), (101, None, "x | " * 80), (102, "en", None), (103, "en", ""), (104, "de", "allein"), (None, "en", "w1é " * 90), (5, "en", rows[5][2]), (5, "en", rows[5][2]), (105, "en", "w2é w3é " * 40_000)]
+    return rows + [(100, "en", "SHOUT!! " * 60), (101, None, "x | " * 80), (102, "en", None), (103, "en", ""), (104, "de", "allein"), (None, "en", "w1é " * 90), (5, "en", rows[5][2]), (5, "en", rows[5][2]), (105, "en", "w2é w3é " * 40_000), (106, "ja", "日本語 の 文、です。 ３ ①€\u0301\x01 ǅ " * 9)]
 
 
 def key(r):
@@ -81,6 +74,14 @@ def test_matches_brute_force(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in want if r[4])
 
 
+def test_clashing_names(spark):
+    rows = [(1, "en", "a b " * 90, 1, 2, 3, 4), (2, "en", "|" * 400, 5, 6, 7, 8), (3, None, None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, `a.b` long, __text long, __lang long, TEXT2 long").withColumnRenamed("TEXT2", "c`d")
+    out = Q.quality_rules(df, carry=True)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert set(map(tuple, out.collect())) <= set(rows) and Q.quality_rules(df).count() == 3
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert Q.quality_rules(df).count() == 0 == Q.quality_rules(df, carry=True).count()

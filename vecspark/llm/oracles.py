@@ -9,7 +9,9 @@ from vecspark.llm import url_reputation as U
 
 def quality_sql() -> str:
     space = r"[ \t\n\r\f\v]"
-    classes = [None, r"\p{Lu}", "[0-9]", space, r"[.,;:?''\"()\-]", r"\|", "!", r"[#$%&*+/<=>@\[\\\]^_`{}~]"]
+    classes = ["".join(rf"\p{{{c}}}" for c in cs.split()) for cs in Q.CATEGORIES]
+    classes[6] += r"\t\n\r\f\v"
+    classes = [f"[{c}]" if c else None for c in classes]
     count = [f"length(regexp_replace(s, '{c}', '', 'g'))" if c else "" for c in classes]
     counts = ", ".join(f"length(s) - {c} AS c{i}" for i, c in enumerate(count) if i)
     rest = " - ".join(["length(s)", *[f"c{i}" for i in range(1, Q.CLASSES)]])

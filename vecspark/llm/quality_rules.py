@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm.arrow_text import slices
-from vecspark.plans.session import prepare
-
-#: Lower-case letters and other characters; upper-case letters; digits; white space; sentence marks; "|"; "!"; other ASCII signs.
-CLASSES = 8
+from vecspark.plans.session import position, positional, prepare
+
+#: Classes of characters by Unicode general categories: others (control and unassigned ones), upper-case and
+#: title-case letters, lower-case letters, letters without case, marks, numbers, white space, punctuation, symbols.
+CATEGORIES = ("", "Lu Lt", "Ll", "Lo Lm", "Mn Mc Me", "Nd Nl No", "Zs Zl Zp", "Pc Pd Ps Pe Pi Pf Po", "Sm Sc Sk So")
+CLASSES = len(CATEGORIES)
+#: Control characters that are white space here.
+SPACES = "\t\n\r\f\v"
 COMMON_WORDS = 24
 MAX_CHAR_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.12
@@ -39,21 +43,13 @@ SCALE = 1_000_000
 #: Bytes of text that are judged at once.
 SLICE_BYTES = 1 << 19
 #: Distinct words that a task gathers before it hands their counts on.
-GATHERED = 400_000
+GATHERED = 200_000
 
 
 def _class_table() -> np.ndarray:
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x20000):
-        if category(chr(c)) == "Lu":
-            out[c] = 1
-    out[ord("0") : ord("9") + 1] = 2
-    for ch in " \t\n\r\f\v":
-        out[ord(ch)] = 3
-    for c in range(33, 127):
-        ch = chr(c)
-        if not ch.isalnum():
-            out[c] = {"|": 5, "!": 6}.get(ch, 4 if ch in ".,;:?'\"()-" else 7)
+    kinds = {c: i for i, cs in enumerate(CATEGORIES) for c in cs.split()}
+    out = np.fromiter((kinds.get(category(chr(c)), 0) for c in range(0x110000)), np.uint8, 0x110000)
+    out[[ord(c) for c in SPACES]] = 6
     return out
 
 
@@ -163,7 +159,9 @@ def quality_rules(
     each language. A null language is a language of its own, the same as the empty one. Null, empty
     and short texts stay; null texts have null in the other columns. A text without words has
     ``js_words`` 0. Repeated rows and ids count and are judged row by row. An empty table gives an
-    empty one. With ``carry`` the rows are those of ``df`` that stay, with all their columns.
+    empty one. Very long texts are judged whole. Of common words that occur equally often the first by
+    its bytes is taken. With ``carry`` the rows are those of ``df`` that stay, with all their columns,
+    whatever the names of those.
     """
     prepare(df.sparkSession)
     words = common_words(df, id_col, text_col, lang_col)
@@ -211,15 +209,17 @@ def quality_rules(
         return n, a, b, ~bad
 
     if carry:
-        columns = df.columns
+        rows, t, lang = positional(df), position(df, text_col), position(df, lang_col)
+        columns = rows.columns
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "__text", SLICE_BYTES):
-                    said = judge(pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__text")], names=["lang", "text"]))[3]
-                    yield part.filter(pa.array(said)).select(columns)
+                for part in slices(batch, "text", SLICE_BYTES):
+                    said = judge(part.select(["lang", "text"]))[3]
+                    yield part.select(columns).filter(pa.array(said))
 
-        return df.select("*", F.coalesce(df[lang_col].cast("string"), F.lit("")).alias("__lang"), df[text_col].alias("__text")).mapInArrow(keep, df.schema)
+        both = [F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(t).cast("string").alias("text")]
+        return rows.select("*", *both).mapInArrow(keep, rows.schema).toDF(*df.columns)
 
     schema = T.StructType(
         [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("js_chars", T.DoubleType()), T.StructField("js_words", T.DoubleType()), T.StructField("keep", T.BooleanType())]
