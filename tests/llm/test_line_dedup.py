@@ -38,5 +38,12 @@ def test_matches_brute_force(spark):
     assert L.line_dedup(df, removed_col=None).columns == df.columns
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 1, 2, 3, 4, 5), (2, "a\nb\nc\nd", 1, 2, 3, 4, 5)], "doc_id long, text string, `a.b` long, __at long, __id long, h long, n long")
+    out = L.line_dedup(df)
+    assert out.columns == [*df.columns, "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 1, 2, 3, 4, 5, 0), (2, "d", 1, 2, 3, 4, 5, 3)]
+
+
 def test_empty(spark):
     assert L.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0

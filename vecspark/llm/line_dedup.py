@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.arrow_text import slices
-from vecspark.plans.session import cut, prepare, small_or_hashed
+from vecspark.plans.session import cut, position, positional, prepare, release, small_or_hashed
 
 WINDOW = 3
 
@@ -35,7 +35,7 @@ def window_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def repeated_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (``id``, ``h``, ``at``): positions of the windows of each text that occurred before."""
+    """Rows (``id``, ``h``, ``at``), written to the shared folder: positions of the windows of each text that occurred before."""
     windows = cut(window_table(df, id_col, text_col).dropDuplicates(["id", "h", "pos"]), "windows")
     often = cut(windows.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "often")
     again = windows.join(small_or_hashed(often), ["k1", "k2"])
@@ -43,7 +43,9 @@ def repeated_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = again.select("k1", "k2", place.alias("place"))
     first = again.groupBy("k1", "k2").agg(F.min("place").alias("first"))
     later = again.join(first, ["k1", "k2"]).where(F.col("place") != F.col("first"))
-    return later.groupBy("place.id", "place.h").agg(F.collect_set("place.pos").alias("at"))
+    out = cut(later.groupBy("place.id", "place.h").agg(F.collect_set("place.pos").alias("at")), "positions")
+    release(windows, often)
+    return out
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
@@ -53,36 +55,38 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     None adds none. The first occurrence of a window is the one with the least id, null ids last,
     then the least hash of the text (``xxhash64``), then the least position. Rows that repeat both id
     and text are one document: they lose the same lines. Texts of fewer than three lines, null and
-    empty texts stay as they are. A text that loses all lines becomes empty. An empty table gives an
+    empty texts stay as they are. A text that loses all lines becomes empty. Very long texts are
+    treated whole. Other columns may have any name, be repeated or hold dots. An empty table gives an
     empty one.
     """
     prepare(df.sparkSession)
-    gone = cut(repeated_positions(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at")), "positions")
-    joined = df.join(small_or_hashed(gone), (F.xxhash64(df[text_col]) == F.col("__h")) & df[id_col].eqNullSafe(F.col("__id")), "left")
-    kept = [c for c in df.columns if c != removed_col]
-    out = joined.select(*[df[c] for c in kept], F.lit(0).alias("__n") if removed_col is None else F.lit(0).alias(removed_col), "__at")
-    schema = out.drop("__at", "__n").schema
-    names = schema.names
+    rows, i, t = positional(df), position(df, id_col), position(df, text_col)
+    gone = repeated_positions(rows, i, t)
+    joined = rows.join(small_or_hashed(gone), (F.xxhash64(rows[t]) == gone["h"]) & rows[i].eqNullSafe(gone["id"]), "left")
+    kept = [(f"c{k}", c) for k, c in enumerate(df.columns) if c != removed_col]
+    names = [p for p, _ in kept] + ["n"] * (removed_col is not None)
+    given = joined.select(*[rows[p] for p, _ in kept], F.lit(0).alias("n"), gone["at"])
+    schema = given.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                at = part.column("__at")
+            for part in slices(batch, t):
+                at = part.column("at")
                 hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)).tolist()
                 columns = {c: part.column(c) for c in names}
                 if hit:
-                    texts, n = part.column(text_col).to_pylist(), np.zeros(part.num_rows, np.int32)
-                    for i in hit:
-                        lines = texts[i].split("\n")
+                    texts, n = part.column(t).to_pylist(), np.zeros(part.num_rows, np.int32)
+                    for j in hit:
+                        lines = texts[j].split("\n")
                         keep = np.ones(len(lines), bool)
-                        pos = np.array(at[i].as_py())
+                        pos = np.array(at[j].as_py())
                         for k in range(WINDOW):
                             keep[pos + k] = False
-                        n[i] = len(lines) - keep.sum()
-                        texts[i] = "\n".join([lines[j] for j in np.flatnonzero(keep).tolist()])
-                    columns[text_col] = pa.array(texts, part.column(text_col).type)
+                        n[j] = len(lines) - keep.sum()
+                        texts[j] = "\n".join([lines[x] for x in np.flatnonzero(keep).tolist()])
+                    columns[t] = pa.array(texts, part.column(t).type)
                     if removed_col:
-                        columns[removed_col] = pa.array(n)
+                        columns["n"] = pa.array(n)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return out.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*[c for _, c in kept], *[removed_col] * (removed_col is not None))
