@@ -50,7 +50,8 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.left_text, '')
 FROM documents d LEFT JOIN kept ON kept.doc_id IS NOT DISTINCT FROM d.doc_id AND kept.text = d.text LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM d.doc_id AND n.text = d.text"""
 
 
-def mixing_sql() -> str:
+def _mixing_steps() -> tuple[str, str]:
+    """The common table expressions of raking, and the name of the last."""
     hits = ", ".join(f"len(regexp_extract_all(s, '{p}'))" for _, p in M.TOPICS)
     names = ", ".join(f"'{t}'" for t, _ in M.TOPICS)
     steps, last = [], "w0"
@@ -61,19 +62,31 @@ def mixing_sql() -> str:
             last = name
     wants = ", ".join(f"t_{d} AS (SELECT {d}, s / sum(s) OVER () * (SELECT sum(tokens) FROM cells) * {M.BUDGET} AS want_{d} FROM (SELECT {d}, pow(sum(tokens), {M.EXPONENTS[d]}) AS s FROM cells GROUP BY {d}))" for d in M.DIMENSIONS)
     return f"""
-WITH a AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS s FROM documents),
+a AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS s FROM documents),
 b AS (SELECT *, len(regexp_extract_all(s, '{M.WORD}')) AS n, [{hits}] AS hits FROM a),
 c AS (SELECT *, CASE WHEN list_max(hits) > 0 AND list_max(hits) * {M.TOPIC_WORDS} >= n THEN [{names}][list_position(hits, list_max(hits))] ELSE '{M.OTHER_TOPIC}' END AS topic FROM b),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM c WHERE n > 0 GROUP BY ALL),
 {wants},
 w0 AS MATERIALIZED (SELECT cells.*, want_source, want_lang, want_topic, tokens * {M.BUDGET} AS w FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
-{", ".join(steps)},
+{", ".join(steps)}""", last
+
+
+def mixing_sql() -> str:
+    steps, last = _mixing_steps()
+    return f"""
+WITH {steps},
 p AS (SELECT c.*, CASE WHEN n > 0 THEN x.w / x.tokens ELSE 1 END AS p FROM c LEFT JOIN {last} x USING (source, lang, topic))
 SELECT doc_id, topic, n AS n_tokens, round(p, 6) AS probability,
   ('0x' || substr(md5('{M.SEED}:' || coalesce(doc_id::VARCHAR, s)), 1, 13))::BIGINT / {float(1 << 52)!r} < p AS sampled
 FROM p"""
 
 
+def marginals_sql() -> str:
+    steps, last = _mixing_steps()
+    each = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, sum(tokens)::BIGINT AS tokens, round(any_value(want_{d}), 3) AS target, round(sum(w), 3) AS expected FROM {last} GROUP BY {d}" for d in M.DIMENSIONS)
+    return f"WITH {steps} {each}"
+
+
 #: The document that a page's URL names, in Spark and in DuckDB.
 PAGE_DOC = r"/([0-9]+)(?:\.[a-z]+)?/?(?:[?#].*)?$"
 

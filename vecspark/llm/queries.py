@@ -13,7 +13,7 @@ from vecspark.llm.language_id import language_id, prototypes
 from vecspark.llm.line_dedup import line_dedup
 from vecspark.llm.media import media_clips
 from vecspark.llm.media_fixture import CLIPS_SQL, films
-from vecspark.llm.mixing import mix
+from vecspark.llm.mixing import marginals, mix
 from vecspark.llm.quality_rules import quality_rules
 from vecspark.llm.sharding import ShardStore
 from vecspark.llm.simhash import near_duplicate_groups
@@ -72,6 +72,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("probability", F.round("probability", 6))
 
 
+def mixing_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op7_mixing and what its weights give."""
+    said = marginals(table(spark, sf_dir, "documents"))
+    return said.withColumn("target", F.round("target", 3)).withColumn("expected", F.round("expected", 3))
+
+
 def op8_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Films made from the whole table of embeddings, cut into clips."""
     return media_clips(films(table(spark, sf_dir, "embeddings")))
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_clips": op8_media_clips,
     "op9_language_id": op9_language_id,
     "op10_url_reputation": op10_url_reputation,
+    "mixing_marginals": mixing_marginals,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,6 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": "SELECT * FROM documents",
     "op6_line_dedup": oracles.LINE_DEDUP,
     "op7_mixing": oracles.mixing_sql(),
+    "mixing_marginals": oracles.marginals_sql(),
     "op8_media_clips": CLIPS_SQL,
     "op10_url_reputation": oracles.reputation_sql(),
 }
