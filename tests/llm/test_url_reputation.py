@@ -19,6 +19,10 @@ SCHEMA = "page_id long, url string, outcome int, host string, mean string"
         ("http://localhost", "localhost", "localhost", "localhost"),
         ("no url", None, None, None),
         ("http:///path", None, None, None),
+        ("http://[2001:DB8::1]/x", "[2001:db8::1]", "[2001:db8::1]", "[2001:db8::1]"),
+        ("http://u@[2001:ffff::9]:80/y", "[2001:ffff::9]", "[2001:ffff::9]", "[2001:ffff::9]"),
+        ("//a.example.com/p", "a.example.com", "example.com", "com"),
+        ("mailto:a@b.com", None, None, None),
     ],
 )
 def test_hosts(spark, url, host, domain, suffix):
@@ -27,6 +31,21 @@ def test_hosts(spark, url, host, domain, suffix):
     assert tuple(r) == (host, domain, suffix)
 
 
+@pytest.mark.parametrize(
+    ("host", "suffix"),
+    [("a.b.github.io", "github.io"), ("github.io", "github.io"), ("x.y.ck", "y.ck"), ("z.x.y.ck", "y.ck"), ("ck", "ck"), ("a.www.ck", "ck"), ("www.ck", "ck"), ("q.s3.dual.example.net", "s3.dual.example.net"), ("a.co.uk", "uk")],
+)
+def test_given_suffixes(spark, host, suffix):
+    rules = U.read_suffixes(["// a list", "github.io", "*.ck  // all", "!www.ck", "", "s3.dual.example.net"])
+    assert spark.createDataFrame([(host,)], "h string").select(U.suffix_of(F.col("h"), rules)).first()[0] == suffix
+
+
+def test_suffixes_part_domains(spark):
+    rows = [(i, f"http://{h}.github.io/", o) for i, (h, o) in enumerate([("a", 1)] * 5 + [("b", 0)] * 5)]
+    said = U.url_reputation(spark.createDataFrame(rows, "page_id long, url string, outcome int"), suffixes=("github.io",)).collect()
+    assert {r.domain for r in said} == {"a.github.io", "b.github.io"}
+
+
 def prior(members):
     seen = [(n, g) for n, g in members if n]
     t, g, k = sum(n for n, _ in seen), sum(g for _, g in seen), len(seen)

@@ -9,6 +9,8 @@ mean less ``Z`` standard deviations, reaches the threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ THRESHOLD = 0.5
 Z = 1.645
 #: Limits of a level's prior pseudo-counts.
 STRENGTHS = (1.0, 10_000.0)
-#: Public suffixes of two labels; other hosts end in a suffix of one.
+#: Public suffixes of several labels that are known without a list; other hosts end in a suffix of one.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "edu.au", "co.jp", "ne.jp", "or.jp", "ac.jp", "com.br", "org.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr", "com.ar", "co.kr")
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-ADDRESS = r"^[0-9.]+$"
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:@]+)"
+ADDRESS = r"^[0-9.]+$|^\["
 
 
 def host_of(url: Column) -> Column:
@@ -30,10 +32,30 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix; of an address the address itself."""
-    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(host.rlike(ADDRESS), host).when(two.isin(*SUFFIXES), two).otherwise(F.regexp_extract(host, r"([^.]+)$", 1))
+def read_suffixes(lines: Iterable[str]) -> tuple[str, ...]:
+    """The rules of a public suffix list, one in a line: a suffix, ``*.`` and a suffix, or ``!`` and an exception."""
+    rules = (line.split("//")[0].split() for line in lines)
+    return tuple(dict.fromkeys(r[0].lower().strip(".") for r in rules if r))
+
+
+def suffix_of(host: Column, suffixes: Iterable[str] = SUFFIXES) -> Column:
+    """The public suffix, the longest that a rule gives; without a rule the last label; of an address the address itself."""
+    rules = set(suffixes)
+    exceptions, wild = {r[1:] for r in rules if r[0] == "!"}, {r[2:] for r in rules if r[:2] == "*."}
+    plain = {r for r in rules if r[0] not in "!*"}
+    labels = max([1, *(r.count(".") + 1 for r in plain | exceptions), *(r.count(".") + 2 for r in wild)])
+    last = lambda k: F.substring_index(host, ".", -k)
+    out = F.when(host.rlike(ADDRESS), host)
+    of = lambda names, k: [n for n in names if n.count(".") == k - 1]
+    for k in range(labels, 1, -1):
+        if own := of(exceptions, k):
+            out = out.when(last(k).isin(*own), last(k - 1))
+    for k in range(labels, 1, -1):
+        if own := of(plain, k):
+            out = out.when(last(k).isin(*own), last(k))
+        if own := of(wild, k - 1):
+            out = out.when(last(k - 1).isin(*own) & (last(k) != last(k - 1)), last(k))
+    return out.otherwise(last(1))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -55,10 +77,10 @@ def strength(level: DataFrame) -> Column:
     return s.select(mu.alias("mu"), m.alias("m"))
 
 
-def host_table(keyed: DataFrame) -> DataFrame:
+def host_table(keyed: DataFrame, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """Rows (``host``, ``domain``, ``suffix``, ``n``, ``good``, ``mean``, ``lower``) from pages with ``host`` and ``outcome``."""
     hosts = keyed.where("host is not null").groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("good"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     hosts = cut(hosts, "hosts")
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "domains")
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffixes")
@@ -73,17 +95,19 @@ def host_table(keyed: DataFrame) -> DataFrame:
     return out.select("host", "domain", "suffix", "n", "good", mean.alias("mean"), F.greatest(F.lit(0.0), mean - F.lit(Z) * sd).alias("lower"))
 
 
-def url_reputation(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_col: str = "outcome", threshold: float = THRESHOLD) -> DataFrame:
+def url_reputation(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_col: str = "outcome", threshold: float = THRESHOLD, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """Rows (``id_col``, ``host``, ``domain``, ``suffix``, ``n_labelled``, ``n_good``, ``mean``, ``lower``, ``keep``), one for each row of ``pages``.
 
-    ``outcome_col`` is 1 for a good page, 0 for a bad one and null for one without label. Repeated
-    rows count each. Hosts without labels have their domain's prior. A null URL, or one without a host,
+    ``outcome_col`` is 1 for a good page, 0 for a bad one and null for one without label. ``suffixes``
+    are the public suffixes, as :func:`read_suffixes` reads them from the public list; the default is a
+    short list of common ones. An address is a host, a domain and a suffix of its own. Repeated rows
+    count each; other columns are not read, whatever their names. Very long URLs are read whole. Hosts without labels have their domain's prior. A null URL, or one without a host,
     has null in all columns but the id and ``keep``: nothing speaks against it, so it stays. Without any
     label the overall rate is one half. An empty table gives an empty one.
     """
     prepare(pages.sparkSession)
     keyed = pages.select(pages[id_col].alias("__id"), host_of(pages[url_col]).alias("host"), pages[outcome_col].cast("int").alias("outcome"))
-    hosts = cut(host_table(keyed).withColumnRenamed("host", "__host"), "reputation")
+    hosts = cut(host_table(keyed, suffixes).withColumnRenamed("host", "__host"), "reputation")
     joined = keyed.join(small_or_hashed(hosts), F.col("host") == F.col("__host"), "left")
     keep = F.col("host").isNull() | (F.col("lower") >= threshold)
     return joined.select(F.col("__id").alias(id_col), "host", "domain", "suffix", F.col("n").alias("n_labelled"), F.col("good").alias("n_good"), "mean", "lower", keep.alias("keep"))
