@@ -24,10 +24,16 @@ def test_compaction_keeps_rows_and_sizes(spark):
         assert rows(store.read()) == sorted(want)
         m = store.compact()
         assert rows(store.read()) == sorted(want)
-        assert not store.plan(m) and all(s.bytes <= 1.2 * store.target for s in m.shards)
+        shards = store.shards(*m.lists).collect()
+        assert not store.plan(m) and all(s.bytes <= 1.2 * store.target for s in shards)
+        tiers = {r.tier: (r.shards, r.bytes) for r in store.tiers().collect()}
+        sizes = {}
+        for x in shards:
+            sizes.setdefault(-1 if 2 * x.bytes >= store.target else store.tier(x.bytes), []).append(x.bytes)
+        assert tiers == {t: (len(b), sum(b)) for t, b in sizes.items()} and all(n < store.fanout for t, (n, _) in tiers.items() if t >= 0)
     assert len(store.versions()) <= store.keep_versions + 1
     store.expire()
-    listed = {s.path.split("/data/")[1] for v in store.versions() for s in store.manifest(v).shards}
+    listed = {s.path.split("/data/")[1] for v in store.versions() for s in store.shards(*store.manifest(v).lists).collect()}
     found, there = store._fs.listFiles(store._path(f"{store.root}/data"), True), set()
     while found.hasNext():
         p = found.next().getPath().toString()
@@ -44,7 +50,7 @@ def test_snapshots_stay(spark):
     store.append(frame(spark, 10, 20, 2))
     store.compact()
     assert store.read(before.version).count() == 10 and store.read().count() == 20
-    assert len(store.manifest().shards) == 1
+    assert store.shards(*store.manifest().lists).count() == 1
 
 
 def test_conflicts(spark, monkeypatch):
@@ -70,6 +76,25 @@ def test_conflicts(spark, monkeypatch):
     assert store.read().count() == 40
 
 
+def test_rounds_see_the_smallest_shards_first(spark, monkeypatch):
+    monkeypatch.setattr(S, "PLANNED", 1)
+    store = S.ShardStore(spark, scratch_path(spark, "shards"), target_bytes=1 << 20, fanout=2)
+    for i in range(3):
+        store.append(frame(spark, i * 300, i * 300 + 300, 50))
+    store.compact()
+    assert store.read().count() == 900 and not store.plan(store.manifest())
+
+
+def test_sweep(spark):
+    store = S.ShardStore(spark, scratch_path(spark, "shards"), fanout=2)
+    store.append(frame(spark, 0, 10, 1))
+    dead = f"{store.root}/data/{'0' * 32}"
+    frame(spark, 0, 10, 1).write.parquet(dead)  # as a job leaves it that died before its commit
+    assert store.sweep() == []
+    assert [x.rsplit("/", 1)[1] for x in store.sweep(grace=-60)] == ["0" * 32]
+    assert store.sweep(grace=-60) == [] and store.read().count() == 10
+
+
 def test_odd_tables(spark):
     store = S.ShardStore(spark, scratch_path(spark, "shards"), fanout=2)
     with pytest.raises(ValueError, match="no arrival"):

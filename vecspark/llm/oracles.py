@@ -35,6 +35,13 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN n END AS n_words, CASE WHEN text
 FROM a"""
 
 
+def snapshots_sql(arrivals: int) -> str:
+    return f"""
+SELECT a::INTEGER AS arrival, compacted, count(doc_row) AS n_rows, coalesce(sum(doc_id), 0)::BIGINT AS ids, coalesce(sum(length(text)), 0)::BIGINT AS chars
+FROM (SELECT unnest(range({arrivals})) AS a) v CROSS JOIN (VALUES (true), (false)) k(compacted)
+LEFT JOIN (SELECT *, 1 AS doc_row, coalesce(doc_id, 0) % {arrivals} AS part FROM documents) d ON d.part <= a GROUP BY ALL"""
+
+
 LINE_DEDUP = """
 WITH t AS (SELECT DISTINCT doc_id, text FROM documents),
 l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM t WHERE text IS NOT NULL),

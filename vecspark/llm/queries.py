@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,18 +52,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARRIVALS = 4
 
 
+def _arrivals(docs: DataFrame, arrivals: int) -> list[DataFrame]:
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals))
+    return [docs.where(part == i) for i in range(arrivals)]
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = ARRIVALS) -> DataFrame:
     """Documents arrive in parts, each is appended and the table compacted; the rows of the last version."""
-    docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, scratch_path(spark, "shards"), keep_versions=1)
-    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals))
-    for i in range(arrivals):
-        store.append(docs.where(part == i))
+    for part in _arrivals(table(spark, sf_dir, "documents"), arrivals):
+        store.append(part)
         store.compact()
     store.expire()
     return store.read()
 
 
+def sharding_snapshots(spark: SparkSession, sf_dir: str, arrivals: int = ARRIVALS) -> DataFrame:
+    """As op5_sharding with all versions kept: what each version after an arrival, and after its compaction, holds."""
+    store = ShardStore(spark, scratch_path(spark, "shards"), keep_versions=1000)
+    seen = []
+    for i, part in enumerate(_arrivals(table(spark, sf_dir, "documents"), arrivals)):
+        seen += [(i, False, store.append(part).version), (i, True, store.compact().version)]
+    held = [
+        store.read(v).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).select(F.lit(i).alias("arrival"), F.lit(c).alias("compacted"), "n_rows", "ids", "chars")
+        for i, c, v in seen
+    ]
+    return reduce(DataFrame.unionByName, held)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,8 +101,10 @@ def op8_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is judged by prototypes of the half of the documents that it isn't in."""
     docs = table(spark, sf_dir, "documents")
-    return language_id(docs, prototypes(docs))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    return reduce(DataFrame.unionByName, [language_id(docs.where(half == i), prototypes(docs.where(half == 1 - i))) for i in range(2)])
 
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_url_reputation": op10_url_reputation,
     "mixing_marginals": mixing_marginals,
+    "sharding_snapshots": sharding_snapshots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.quality_sql(),
     "op5_sharding": "SELECT * FROM documents",
+    "sharding_snapshots": oracles.snapshots_sql(ARRIVALS),
     "op6_line_dedup": oracles.LINE_DEDUP,
     "op7_mixing": oracles.mixing_sql(),
     "mixing_marginals": oracles.marginals_sql(),
