@@ -13,7 +13,7 @@ from vecspark.llm.quality_rules import quality_rules
 from vecspark.llm.queries import SPM_MODEL, table
 from vecspark.llm.simhash import drop_near_duplicates
 from vecspark.llm.spm_codec import spm_encode
-from vecspark.plans.session import cut
+from vecspark.plans.session import cut, position, positional, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document whose every line was removed is gone: its text stands in earlier documents. Texts that
     were empty before stay.
     """
-    out = line_dedup(docs, removed_col="__removed").where((F.col("__removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
-    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, text, size = positional(docs), position(docs, "text"), position(docs, "n_chars")
+    out = line_dedup(rows, position(docs, "doc_id"), text, "removed").where((F.col("removed") == 0) | (F.trim(F.regexp_replace(text, "\n", " ")) != ""))
+    chars = F.when(F.col("removed") > 0, F.length(text)).otherwise(F.col(size)).cast(rows.schema[size].dataType)
+    return out.withColumn(size, chars).select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table goes once the next one is written; the last one's input stays for it."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, f"stage{i}")
+            release(given)
     return docs
