@@ -54,6 +54,17 @@ def test_stages_keep_columns(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def test_stages_take_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve\nsecond line of it\nthird line of it"
+    rows = [(i, text + (f"\nown {i}" if i else ""), "en", "s", 5, i, 2, 3, 4) for i in range(3)] + [(9, None, None, None, None, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", `a.b` long, __removed long, removed long, h long")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.n_chars, r["a.b"], r.removed) for r in P.lines(spark, docs, "").collect()), key=str) == [(0, 5, 0, 3), (1, 5, 1, 3), (2, 5, 2, 3), (9, None, 1, 1)]
+    assert P.encoding(spark, docs, "").count() == 4
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
