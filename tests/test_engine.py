@@ -86,10 +86,21 @@ def test_index_types(spark, engine, rows, options):
     assert len(want & got) >= (0.9 if "HNSW" in options else 1) * len(want)
     assert index.search(rows.where("id = 3").first().vec, 1).first().id == 3 or "IP" in options
     index.delete(rows.where("id = 3").select("id"))
+    assert "delta" in index.manifest["parts"] and index.manifest["rows"] == 249 and index.integrity().count() == 0
+    base = index.manifest["parts"]["base"]
+    new = rows.where("id in (5, 6, 5000)").unionByName(rows.where("id = 7").selectExpr("5000L AS id", "vec"))
+    index.upsert(new.selectExpr("id", "transform(vec, x -> x * 2) AS vec", "vec[0] AS o"), "o")
+    assert index.manifest["rows"] == 250 and index.vector(6) == [x * 2 for x in rows.where("id = 6").first().vec] and index.vector(3) is None
+    assert index.manifest["parts"]["base"] == base and (5000 in ids(index.search(index.vector(5000), 2)) or "IP" in options)
+    index.delete(index.vectors().where("id = 5000").select("id"))
     assert 3 not in ids(index.search(rows.where("id = 3").first().vec, 5))
     assert VectorIndex(spark, engine.index_dir, "t.c", options).load().vectors().count() == 249
+    index.upsert(rows.where("id >= 100"))  # more than the delta may hold: a new base
+    assert "delta" not in index.manifest["parts"] and index.manifest["rows"] == 249 and index.vectors().count() == 249 and index.integrity().count() == 0
     index.build(rows.where("id < 0"))
     assert index.search([0.0] * 64, 5).count() == 0
+    index.upsert(rows.where("id < 2").unionByName(rows.where("id = 1")))
+    assert index.manifest["rows"] == 2 and len(ids(index.search([0.0] * 64, 5))) == 2
 
 
 def test_binary_graph_and_capacity(engine, rows):

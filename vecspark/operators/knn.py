@@ -1,7 +1,7 @@
 """Exact nearest neighbours as DataFrame plans.
 
-All searches return nearest first with ties by id, skip null vectors, and give fewer rows where there
-are fewer than ``k``.
+All searches return nearest first with ties by id, skip null vectors, cut vectors of different lengths to
+the shorter, and give fewer rows where there are fewer than ``k``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,12 @@ from pyspark.sql import types as T
 from vecspark.functions.distance import distance, distance_to
 from vecspark.sources.options import metric as canonical
 
-#: Queries that one pass over the vectors answers; their block travels as a broadcast variable.
-QUERY_BLOCK = 4096
+#: Queries that meet vectors in one task.
+QUERY_BLOCK = 16_384
+#: Vectors that a task of a batch search holds.
+VECTOR_CHUNK = 65_536
+#: Rows of queries and of vectors that are multiplied at once.
+TILE = (1024, 4096)
 #: Pairs of a query and a candidate whose exact distances a task takes at once.
 PAIRS = 1 << 16
 
@@ -59,7 +64,7 @@ def group_knn(df: DataFrame, query: Sequence[float], k: int, group_col: str, met
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """All distances of two blocks of rows, in doubles."""
     if metric == "HAMMING":
-        return np.bitwise_count(q[:, None, :] ^ v[None, :, :]).sum(axis=2).astype(np.float64)
+        return sum((np.bitwise_count(q[:, i, None] ^ v[None, :, i]).astype(np.float64) for i in range(q.shape[1])), np.zeros((len(q), len(v))))
     prod = q @ v.T
     if metric == "IP":
         return 1.0 - prod
@@ -94,91 +99,127 @@ def _slack(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return eps * ((qn + vn) ** 2 if metric == "L2" else 1.0 + qn * vn)
 
 
-def _candidates(q: np.ndarray, v: np.ndarray, metric: str, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (rows of ``q``, rows of ``v``) in parts of about ``PAIRS``, a query's all in one part: whatever
-    may be among the ``k`` nearest of a query, with all that are as far as the last of them."""
-    d = _distances(q, v, metric)
-    if k < len(v):
-        bound = np.partition(d, k - 1, axis=1)[:, k - 1] + _slack(q, v, metric)
-        near = ~(d > bound[:, None])  # where the bound is no number, all
-    else:
-        near = np.ones(d.shape, bool)
-    part = np.cumsum(near.sum(axis=1)) // PAIRS
-    cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
-    for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
-        row, col = np.nonzero(near[a:b])
-        yield row + a, col
+def nearest(q: np.ndarray, v: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q``, rows of ``v`` and their distances: for each row of ``q`` the ``k`` nearest, ties by the row of ``v``.
 
-
-def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
-    """Arrays of one length, without nulls, as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(dtype) if len(column) else np.zeros((0, 1), dtype)
-
-
-def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2", id_col: str = "id", vec_col: str = "vec", query_id: str = "qid", query_vec: str = "searchvec", block: int = QUERY_BLOCK) -> DataFrame:
+    Tiles are multiplied; whatever may be among the nearest, after rounding and with all ties, gets its
+    exact distance. The bound for that falls from tile to tile.
+    """
+    found = [_tile_rows(q[a : a + TILE[0]], v, metric, k, a) for a in range(0, len(q), TILE[0])]
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _tile_rows(q: np.ndarray, v: np.ndarray, metric: str, k: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slack, bound = _slack(q, v, metric), np.full(len(q), np.inf)
+    row, col, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for b in range(0, len(v), TILE[1]):
+        d = _distances(q, v[b : b + TILE[1]], metric)
+        if k < d.shape[1]:
+            bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+        x, y = np.nonzero(~(d > bound[:, None]))  # what is no number counts as near
+        for i in range(0, len(x), PAIRS):
+            r, c = x[i : i + PAIRS], y[i : i + PAIRS] + b
+            row, col, far = np.concatenate([row, r]), np.concatenate([col, c]), np.concatenate([far, _exact(q[r], v[c], metric)])
+            order = np.lexsort((col, far, row))
+            row, col, far = row[order], col[order], far[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            place = np.arange(len(row)) - first[row]
+            last = place == k - 1
+            bound[row[last]] = np.fmin(bound[row[last]], far[last] + slack[row[last]])
+            row, col, far = row[place < k], col[place < k], far[place < k]
+    return row + offset, col, far
+
+
+def _by_length(column: pa.Array | pa.ChunkedArray, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length of an array column without nulls: their numbers, and their values as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    start = np.cumsum(size) - size
+    out = []
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        out.append((rows, flat.reshape(-1, n) if len(rows) == len(size) and n else flat[start[rows][:, None] + np.arange(n)[None, :]]))
+    return out
+
+
+def match(queries: pa.Table, vectors: pa.Table, metric: str, k: int) -> pa.Table:
+    """Rows (``q``, ``id``, ``distance``): for each query (``q``, ``searchvec``) the ``k`` nearest of the vectors (``id``, ``vec``)."""
+    kind = np.uint64 if metric == "HAMMING" else np.float64  # signed numbers would be counted by their absolute values
+    vectors = vectors.sort_by("id")
+    sides = _by_length(queries["searchvec"], kind), _by_length(vectors["vec"], kind)
+    found = []
+    for qrows, q in sides[0]:
+        for vrows, v in sides[1]:
+            n = min(q.shape[1], v.shape[1])
+            r, c, d = nearest(np.ascontiguousarray(q[:, :n]), np.ascontiguousarray(v[:, :n]), metric, k)
+            found.append((qrows[r], vrows[c], d))
+    row, col, far = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    if len(found) > 1:
+        order = np.lexsort((col, far, row))
+        row, col, far = row[order], col[order], far[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, far = row[keep], col[keep], far[keep]
+    return pa.table([queries["q"].take(pa.array(row)), vectors["id"].take(pa.array(col)), pa.array(far)], names=["q", "id", "distance"])
+
+
+def ranked(found: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
+    """The ``k`` nearest of each query from rows (``q``, ``id``, ``distance``), of which several may tell the same."""
+    rank = F.dense_rank().over(Window.partitionBy("q").orderBy("distance", "id"))
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["q", "rank"])
+    return out.select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "distance")
+
+
+def batch_schema(queries: DataFrame, query_id: str, id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2", id_col: str = "id", vec_col: str = "vec", query_id: str = "qid", query_vec: str = "searchvec", block: int = QUERY_BLOCK, chunk: int = VECTOR_CHUNK) -> DataFrame:
     """Rows (``query_id``, ``rank`` from 1, ``id_col``, ``distance``) for each query.
 
-    Queries are taken in blocks of a fixed size. For a block each task multiplies its vectors with the
-    queries and keeps the ``k`` nearest of each, ties by id however many there are; a window over those survivors gives the result, so
-    what is shuffled is ``k`` rows for each query and task and never a vector.
+    Up to ``block`` queries are broadcast, and each task multiplies the vectors it scans with them: no
+    vector is shuffled. More queries are put in blocks and the vectors in chunks by hash, and each block
+    meets each chunk in a task of one plan. Either way a task keeps the ``k`` nearest of each query, ties
+    by id however many there are, and a window over those survivors gives the result. Queries with one
+    id are one query of several vectors; a vector's id counts once for it.
     """
     m = canonical(metric)
-    kind = np.int64 if m == "HAMMING" else np.float64
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("__q", T.LongType()), T.StructField("__id", id_type), T.StructField("distance", T.DoubleType())])
     vectors = df.where(df[vec_col].isNotNull()).select(df[id_col].alias("id"), df[vec_col].alias("vec"))
-    context = df.sparkSession.sparkContext
-    ids: list = []
-    parts = []
-
-    def near(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            best = None
-            for whole in batches:
-                for start in range(0, whole.num_rows, 2048):
-                    b = whole.slice(start, 2048)
-                    v = _matrix(b.column("vec"), kind)
-                    own = [] if best is None else [best]
-                    for row, col in _candidates(q, v, m, k):
-                        t = pa.table([pa.array(row), b.column("id").take(pa.array(col)), pa.array(_exact(q[row], v[col], m))], names=["__q", "__id", "distance"])
-                        own.append(_top(t, k))
-                    best = _top(pa.concat_tables(own), k)
+    asked = queries.where(queries[query_vec].isNotNull()).select(queries[query_id].alias("q"), queries[query_vec].alias("searchvec"))
+    schema = batch_schema(queries, query_id, df.schema[id_col].dataType)
+    few = asked.limit(block + 1).toArrow()
+    if len(few) <= block:
+        shared = df.sparkSession.sparkContext.broadcast(few)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, best = [], None
+            for b in batches:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= chunk:
+                    best = merge(best, match(shared.value, pa.Table.from_batches(held), m, k))
+                    held = []
+            if held:
+                best = merge(best, match(shared.value, pa.Table.from_batches(held), m, k))
             if best is not None:
                 yield from best.to_batches()
 
-        return vectors.mapInArrow(run, schema)
-
-    pending_ids, pending = [], []
-
-    def flush() -> None:
-        if pending:
-            part = near(context.broadcast(np.array(pending, kind)))
-            names = df.sparkSession.createDataFrame(list(enumerate(pending_ids)), T.StructType([T.StructField("__n", T.LongType()), T.StructField(query_id, queries.schema[query_id].dataType)]))
-            parts.append(part.join(F.broadcast(names), F.col("__q") == F.col("__n")).select(query_id, F.col("__id").alias(id_col), "distance"))
-            pending_ids.clear()
-            pending.clear()
-
-    for r in queries.where(queries[query_vec].isNotNull()).select(query_id, query_vec).toLocalIterator():
-        pending_ids.append(r[0])
-        pending.append(r[1])
-        if len(pending) == block:
-            flush()
-    flush()
-    if not parts:
-        return df.sparkSession.createDataFrame([], T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField("rank", T.IntegerType()), T.StructField(id_col, id_type), T.StructField("distance", T.DoubleType())]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, "rank", id_col, "distance")
+        def merge(best: pa.Table | None, new: pa.Table) -> pa.Table:
+            return new if best is None else _top(pa.concat_tables([best, new]), k)
+
+        return ranked(vectors.mapInArrow(scan, schema), k, query_id, id_col)
+    blocks, chunks = -(-asked.count() // block), max(1, -(-vectors.count() // chunk))
+    meet = lambda own, n, other, many: [F.pmod(F.xxhash64(*own), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("other")]
+    left = asked.select("*", *meet(["q", "searchvec"], blocks, "chunk", chunks)).withColumnsRenamed({"own": "block", "other": "chunk"})
+    right = vectors.select("*", *meet(["id", "vec"], chunks, "block", blocks)).withColumnsRenamed({"own": "chunk", "other": "block"})
+    both = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+    return ranked(both.applyInArrow(lambda q, v: match(q, v, m, k), schema), k, query_id, id_col)
 
 
 def _top(t: pa.Table, k: int) -> pa.Table:
-    t = t.sort_by([("__q", "ascending"), ("distance", "ascending"), ("__id", "ascending")])
-    q = t["__q"].to_numpy()
-    first = np.flatnonzero(np.diff(q, prepend=-1))
+    t = t.sort_by([("q", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+    q = t["q"].combine_chunks().dictionary_encode()
+    q = (q.combine_chunks() if isinstance(q, pa.ChunkedArray) else q).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.diff(q, prepend=-2))
     return t.filter(pa.array(np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k))
 
 
