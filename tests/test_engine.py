@@ -42,6 +42,44 @@ def test_rewriting_rules():
     assert R.parse_call("CALL other('x')") is None
 
 
+def test_names_in_quotes_stay(spark, engine):
+    r = engine.sql("SELECT 'vector_distance(' AS s, 1 AS vector_distance, ourvector_distance(array(1f), array(3f)) AS d -- vector_dot(1)")
+    assert r.columns == ["s", "vector_distance", "d"] and tuple(r.first()) == ("vector_distance(", 1, 4.0)
+    assert engine.sql("SELECT vector_construct('[1,2]', 'i=string,o=float') AS a, vector_display(array(1f, 2.5f)) AS b").first() == ([1.0, 2.0], "[1, 2.5]")
+    with pytest.raises(ValueError, match="told"):
+        engine.sql("SELECT vector_construct('[1]', 'i=string,o=words')")
+
+
+def test_sets_and_online_columns(spark, engine, rows, tmp_path):
+    engine.add_index("t.s", "type=KNN,dim=64").build(rows)
+    q = rows.where("id = 9").first().vec
+    said = engine.sql(f"SELECT vector_ann_set('t.s', 'id', array({','.join(map(str, q))}), 3) AS ids, vector_ann_set('t.s', 'id', CAST(NULL AS ARRAY<FLOAT>)) AS none").first()
+    assert said.ids.startswith("[9,") and said.none is None
+    sets = {r.qid: r.ids for r in engine.ann_sets("t.s", rows.where("id < 3").selectExpr("id AS qid", "vec AS searchvec"), 2).collect()}
+    assert len(sets) == 3 and all(v.startswith(f"[{k},") for k, v in sets.items())
+    spark.sql("DROP TABLE IF EXISTS on_t")
+    engine.sql("CREATE TABLE on_t (id BIGINT, a VECTOR(dim=2,online=Y,idcol=id), b VECTOR(dim=2)) USING parquet")
+    schema = "op string, id long, vec array<float>, seq long"
+    spark.createDataFrame([("I", 1, [1.0, 2.0], 1)], schema).write.parquet(str(tmp_path / "feed"))
+    stream = lambda name: spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
+    started = engine.start_online(stream, str(tmp_path / "check"), available_now=True)
+    assert list(started) == ["default.on_t.a"]
+    started["default.on_t.a"].awaitTermination()
+    assert ids(engine.index("default.on_t.a").vectors()) == [1] and engine.start_online(stream, str(tmp_path / "check")) == {}
+    spark.sql("DROP TABLE on_t")
+    with pytest.raises(CdcDisabled):
+        Engine(spark, engine.index_dir, feature_level=3).start_stream("x", None, "y")
+
+
+def test_dead_writers_are_swept(spark):
+    v = Versions(spark, scratch_path(spark, "v"))
+    live = v.fresh()
+    for f in (live, v.fresh()):
+        spark.range(1).write.parquet(f)
+    v.commit({"parent": 0, "folders": [live]})
+    assert v.sweep() == [] and len(v.sweep(grace=-60)) == 1 and spark.read.parquet(live).count() == 1
+
+
 def test_procedures_and_annotations(spark, engine):
     spark.sql("DROP TABLE IF EXISTS words_t")
     engine.sql("CREATE TABLE words_t (c1 BIGINT, note STRING, vec VECTOR(dim=3,track=upd)) USING parquet")

@@ -6,7 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from vecspark.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
+
+from vecspark.functions.distance import quantize
+from vecspark.operators.knn import knn_batch
+from vecspark.queries import ORACLE_SQL, QUERIES, built, vectors
 
 
 @pytest.fixture(scope="module")
@@ -28,24 +32,24 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert canonical(QUERIES[name](spark, sf_dir).toPandas()) == canonical(duck.sql(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize(("name", "exact", "least"), [("ivf_partial_probe", "knn_batch_l2", 0.6), ("hnsw_search", "knn_batch_l2", 0.95)])
-def test_recall(spark, sf_dir, name, exact, least):
-    pairs = lambda q: {(r.qid, r.id) for r in QUERIES[q](spark, sf_dir).collect()}
-    want, got = pairs(exact), pairs(name)
-    assert len(want & got) >= least * len(want)
-
-
-def test_recall_of_some_lists(spark, sf_dir):
-    rows = QUERIES["ivf_partial_probe"](spark, sf_dir).collect()
-    want = {(r.qid, r.id) for r in QUERIES["knn_batch_l2"](spark, sf_dir).collect()}
-    assert len({(r.qid, r.id) for r in rows}) == len(rows) == len(want)
-    assert len(want & {(r.qid, r.id) for r in rows}) >= 0.95 * len(want)
+@pytest.mark.parametrize(("options", "k", "effort", "exact", "least"), [("type=IVF,dim=64,nlist=16", 5, 8, "L2", 0.95), ("type=HNSW,dim=64,M=16,ef=100", 5, 100, "L2", 0.95), ("type=HNSW_BV,dim=64,M=16,ef=100", 10, 100, "HAMMING", 0.95)])
+def test_recall(spark, sf_dir, options, k, effort, exact, least):
+    """Every vector is a query here."""
+    df = vectors(spark, sf_dir)
+    ask = df.selectExpr("id AS qid", "vec AS searchvec")
+    _, index, _ = built(spark, sf_dir, options)
+    got = index.search_batch(ask, k, effort).collect()
+    flat = lambda x, c: x.withColumn(c, quantize(F.col(c))) if exact == "HAMMING" else x
+    want = knn_batch(flat(df, "vec"), flat(ask, "searchvec"), k, exact).collect()
+    assert len({(r.qid, r.id) for r in got}) == len(got) == len(want)
+    last = {r.qid: r.distance for r in want if r["rank"] == k}  # a row as near as the last one counts, whatever its id
+    assert sum(r.distance <= last[r.qid] + 1e-5 for r in got) >= least * len(want)
 
 
 def test_whole_vectors_are_parsed_and_displayed(spark, sf_dir):
-    rows = QUERIES["construct_parse_whole"](spark, sf_dir).groupBy("id", "form").count().collect()
+    rows = QUERIES["construct_parse"](spark, sf_dir).groupBy("id", "form").count().collect()
     assert {r["count"] for r in rows} == {64} and len(rows) == 4 * len({r.id for r in rows})
-    assert all(r.text.count(",") == 63 for r in QUERIES["display_prec_whole"](spark, sf_dir).collect())
+    assert all(r.text.count(",") == 63 for r in QUERIES["display_prec"](spark, sf_dir).collect())
 
 
 def test_entry_imports_and_names():

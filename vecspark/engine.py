@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.functions.codec import register_codec
+from vecspark.functions.codec import conversion, register_codec
 from vecspark.functions.distance import register_distances
 from vecspark.operators.index import VectorIndex
+from vecspark.operators.knn import ann_set
 from vecspark.plans import rewrite
 from vecspark.plans.session import cut, prepare, shared_dir
 from vecspark.sources.config import read_config
@@ -24,14 +26,18 @@ class EngineError(ValueError):
 
 
 class Engine:
-    """``prefix`` begins the names of the SQL functions; the same session may have several."""
+    """``prefix`` begins the names of the SQL functions; the same session may have several. An odd ``feature_level``
+    turns following of changes off, as ``cdc_enabled`` does."""
 
-    def __init__(self, spark: SparkSession, index_dir: str | None = None, prefix: str = "vec_", cdc_enabled: bool = True, config_file: str | None = None):
+    def __init__(self, spark: SparkSession, index_dir: str | None = None, prefix: str = "vec_", cdc_enabled: bool = True, config_file: str | None = None, feature_level: int | None = None):
         settings = read_config(config_file) if config_file else {}
         self.spark = prepare(spark)
         self.index_dir = (index_dir or settings.get("index_dir") or f"{shared_dir(spark)}/indexes").rstrip("/")
         self.prefix = prefix
-        self.cdc_enabled = cdc_enabled and settings.get("cdc_enabled", "Y").upper() != "N"
+        self.feature_level = int(settings.get("feature_level", 2)) if feature_level is None else feature_level
+        if not 1 <= self.feature_level <= 100:
+            raise EngineError("feature_level is 1 to 100")
+        self.cdc_enabled = cdc_enabled and settings.get("cdc_enabled", "Y").upper() != "N" and self.feature_level % 2 == 0
         self.registry: dict[str, VectorIndex] = {}
         self.streams: dict[str, object] = {}
         register_codec(spark, "vec_")
@@ -82,7 +88,7 @@ class Engine:
         o = self.column_options(name)
         table, _, column = name.rpartition(".")
         index = self.registry.get(name) or self.add_index(name, o)
-        made = index.build(self.spark.table(table), id_col, column, datetime.now(timezone.utc).replace(tzinfo=None) if o.track else None, o.track)
+        made = index.build(self.spark.table(table), id_col, column, datetime.now(timezone.utc) if o.track else None, o.track)
         return self._said(f"SUCCESS: index created and saved as version {made['version']}, rows: {made['rows']}")
 
     def index_refresh(self, name: str, id_col: str) -> DataFrame:
@@ -90,7 +96,7 @@ class Engine:
         if not o.track:
             raise EngineError(f"{name} has no track column")
         table, _, column = name.rpartition(".")
-        made = self.index(name).refresh(self.spark.table(table), id_col, column, o.track, datetime.now(timezone.utc).replace(tzinfo=None))
+        made = self.index(name).refresh(self.spark.table(table), id_col, column, o.track, datetime.now(timezone.utc))
         return self._said(f"SUCCESS: index refreshed as version {made['version']}, rows: {made['rows']}")
 
     def index_load(self, name: str) -> DataFrame:
@@ -146,7 +152,20 @@ class Engine:
         return self._view(cut(self.ann_batch(column, rows, options).select("id").distinct(), "near"))
 
     def _functions(self, sql: str) -> str:
-        return re.sub(r"\b[A-Za-z]*vector_(?=construct|display|distance|is_valid|hamming_distance|quantize|dot)", "vec_", sql, flags=re.I)
+        return rewrite.rewrite_functions(sql, conversion)
+
+    def _ann_set(self, column: str, _: str, expression: str, options: str | None) -> str:
+        """The ids as a literal, near first; null for a null vector."""
+        vector = self._vector(expression)
+        if vector is None:
+            return "CAST(NULL AS STRING)"
+        return f"'{ann_set(self.ann(column, vector, options)).first().ids}'"
+
+    def ann_sets(self, name: str, queries: DataFrame, options: str | int | None = None) -> DataFrame:
+        """(qid, ids) for each row of ``queries`` (qid, searchvec): the neighbours' ids, near first, as JSON text."""
+        near = self.ann_batch(name, queries, options)
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"])
+        return near.groupBy("qid").agg(F.to_json(ids).alias("ids"))
 
     def sql(self, text: str) -> DataFrame:
         """Run annotated SQL. Statements without annotations go to Spark as they are."""
@@ -156,11 +175,11 @@ class Engine:
             if len(args) != (2 if action in ("build", "refresh") else 1):
                 raise EngineError(f"wrong number of arguments for {action}")
             return getattr(self, f"index_{action}")(*args)
-        if "VECTOR" in text.upper():
+        if re.search("VECTOR|VEC_CONSTRUCT", text, re.I):
             if re.match(r"\s*(CREATE|ALTER)\s+TABLE\b", text, re.I):
                 text = rewrite.rewrite_columns(text)
             elif re.match(r"\s*(SELECT|EXPLAIN|WITH)\b", text, re.I):
-                new = rewrite.rewrite_is_ann(text, self._is_ann)
+                new = rewrite.rewrite_is_ann(rewrite.rewrite_sets(text, self._ann_set), self._is_ann)
                 text = self._functions(new if new != text else rewrite.rewrite_search(text, self._search))
         return self.spark.sql(text)
 
@@ -172,3 +191,18 @@ class Engine:
             raise CdcDisabled("following changes is off")
         self.streams[name] = follow(self.index(name), changes, checkpoint, **how)
         return self.streams[name]
+
+    def start_online(self, changes: Callable[[str], DataFrame], checkpoint: str, **how) -> dict:
+        """Follow the changes of every annotated column with ``online=Y``; ``changes`` gives the stream of a column's name.
+
+        Indexes that aren't open are loaded. Columns that are followed already, or without ``idcol``, are left out.
+        """
+        started = {}
+        for r in self.vector_columns().collect():
+            name, o = f"{r.db}.{r.tbl}.{r.col}", ColumnOptions.of(r.options)
+            if not o.online or not o.idcol or name in self.streams:
+                continue
+            if name not in self.registry or self.registry[name].manifest is None:
+                self.index_load(name)
+            started[name] = self.start_stream(name, changes(name), f"{checkpoint.rstrip('/')}/{name}", **how)
+        return started

@@ -14,6 +14,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.sources.options import OptionError, parse
+
 FLOATS, BITS = 0x0101, 0x0401
 OVERHEAD = 8
 NUMBER = r"^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -22,20 +24,36 @@ _INNER = (
     "WHEN instr(s, '{') > 0 THEN nullif(regexp_extract(s, '\\\\{([^}]*\\\\})', 1), '') "
     "WHEN instr(s, '(') > 0 THEN nullif(regexp_extract(s, '\\\\(([^)]*\\\\))', 1), '') ELSE concat(s, ' ') END"
 )
-#: A text's values: in square, curly or round brackets or bare, parted by spaces and commas. A token that
-#: is no number is 0. Null where a bracket is not closed.
+_SPECIAL = "CASE WHEN lower(t) RLIKE '^[+-]?inf' THEN CAST(concat(if(startswith(t, '-'), '-', ''), 'Infinity') AS FLOAT) WHEN lower(t) RLIKE '^[+-]?nan' THEN CAST('NaN' AS FLOAT) END"
+#: A text's values: in square, curly or round brackets or bare, parted by spaces and commas. A token begins
+#: with a number, ``inf`` or ``nan``, or else is 0. Null where a bracket is not closed.
 CONSTRUCT = (
     f"transform(filter(split(substring({_INNER}, 1, length({_INNER}) - 1), '[ ,\\\\t\\\\n\\\\r]+'), t -> t <> ''), "
-    f"t -> coalesce(try_cast(regexp_extract(t, '{NUMBER}', 0) AS FLOAT), CAST(0 AS FLOAT)))"
+    f"t -> coalesce(try_cast(regexp_extract(t, '{NUMBER}', 0) AS FLOAT), {_SPECIAL}, CAST(0 AS FLOAT)))"
 )
+#: Bodies of ``construct`` by its options: what goes in and what comes out.
+CONVERSIONS = {("string", "float"): "construct", ("float", "float"): "pass_floats", ("float", "bv"): "quantize", ("string", "bv"): "pack_bytes", ("bv", "bv"): "pass_bits"}
 IS_VALID = "coalesce(size(v) = dim AND v IS NOT NULL, false)"
 _TAIL = "conv(concat(hex(substring(b, -1, 1)), hex(substring(b, -2, 1)), hex(substring(b, -3, 1)), hex(substring(b, -4, 1))), 16, 10)"
 IS_VALID_BYTES = f"coalesce(length(b) = dim * 4 + {OVERHEAD} AND length(b) >= 12 AND crc32(substring(b, 1, length(b) - 4)) = CAST({_TAIL} AS BIGINT), false)"
 
 
-def construct(text: Column) -> Column:
-    """``ARRAY<FLOAT>`` of a text; needs :func:`register_codec` on the session."""
-    return F.call_function("vec_construct", text)
+def conversion(options: str | None) -> str:
+    """The function that ``construct`` with options ``i=string|float|bv,o=float|bv`` stands for."""
+    o = parse(options)
+    key = (o.get("i", "string").lower(), o.get("o", "float").lower())
+    if key not in CONVERSIONS or set(o) - {"i", "o"}:
+        raise OptionError(f"construct can't be told {options!r}")
+    return CONVERSIONS[key]
+
+
+def construct(value: Column, options: str | None = None) -> Column:
+    """A vector of a text, or of another form by ``options``, see :func:`conversion`; needs the session's functions.
+
+    Floats are ``ARRAY<FLOAT>``, also where they come in; bits come out as ``ARRAY<BIGINT>`` words of
+    floats, and as sealed bytes of texts that give each byte as a number.
+    """
+    return F.call_function(f"vec_{conversion(options)}", value)
 
 
 def is_valid(vector: Column, dim: Column | int) -> Column:
@@ -48,9 +66,14 @@ def _display(values, precision: int) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def display(vector: pd.Series, precision: pd.Series) -> pd.Series:
-    """``[a, b, c]`` with as many significant digits; 7 where the precision is null or 0."""
-    return pd.Series([_display(v, int(p) if p is not None and p == p and p > 0 else 7) for v, p in zip(vector, precision, strict=True)], dtype=object)
+def display(*args: pd.Series) -> pd.Series:
+    """``[a, b, c]`` of a vector with as many significant digits as the second argument says; 7 where it is absent, null or 0."""
+    return pd.Series([_display(v, p) for v, p in _with_precision(args)], dtype=object)
+
+
+def _with_precision(args: tuple[pd.Series, ...]):
+    given = args[1] if len(args) > 1 else [None] * len(args[0])
+    return [(v, int(p) if p is not None and p == p and p > 0 else 7) for v, p in zip(args[0], given, strict=True)]
 
 
 def _seal(payload: bytes, kind: int) -> bytes:
@@ -92,10 +115,10 @@ def from_bytes(raw: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def display_bytes(raw: pd.Series, precision: pd.Series) -> pd.Series:
-    """Text of bytes: values, packed bits as unsigned bytes, or ``<invalid vector>``."""
+def display_bytes(*args: pd.Series) -> pd.Series:
+    """Text of bytes, with a precision or without: values, packed bits as unsigned bytes, or ``<invalid vector>``."""
     out = []
-    for b, p in zip(raw, precision, strict=True):
+    for b, p in _with_precision(args):
         if b is None:
             out.append(None)
             continue
@@ -105,7 +128,7 @@ def display_bytes(raw: pd.Series, precision: pd.Series) -> pd.Series:
             out.append("<invalid vector>")
             continue
         values = np.frombuffer(payload, np.uint8 if kind == BITS else "<f4")
-        out.append(_display(values, int(p) if p is not None and p == p and p > 0 else 7))
+        out.append(_display(values, p))
     return pd.Series(out, dtype=object)
 
 
@@ -120,6 +143,8 @@ def register_codec(spark: SparkSession, prefix: str = "vec_") -> None:
     """Create or replace the SQL functions of this module."""
     for name, parameters, kind, body in (
         ("construct", "s STRING", "ARRAY<FLOAT>", CONSTRUCT),
+        ("pass_floats", "v ARRAY<FLOAT>", "ARRAY<FLOAT>", "v"),
+        ("pass_bits", "b BINARY", "BINARY", "b"),
         ("is_valid", "v ARRAY<FLOAT>, dim INT", "BOOLEAN", IS_VALID),
         ("is_valid_bytes", "b BINARY, dim INT", "BOOLEAN", IS_VALID_BYTES),
     ):

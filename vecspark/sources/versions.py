@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -77,5 +78,16 @@ class Versions:
                 delete_path(self.spark, f)
             self._fs.delete(self._path(f"{self.root}/manifests/v{v}.json"), False)
 
+    def sweep(self, grace: float = 86_400) -> list[str]:
+        """Delete folders of data that no version names and that are older than ``grace`` seconds: what dead writers left."""
+        folder = self._path(f"{self.root}/data")
+        live = {f.rsplit("/", 1)[1] for v in self.all() for f in self.read(v)["folders"]}
+        gone = []
+        for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            if s.getPath().getName() not in live and s.getModificationTime() < (time.time() - grace) * 1000:
+                gone.append(s.getPath().toString())
+                self._fs.delete(s.getPath(), True)
+        return gone
+
     def drop(self) -> None:
         delete_path(self.spark, self.root)
