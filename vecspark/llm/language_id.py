@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow_text import slices
+from vecspark.llm.arrow_text import slices, trimmed
 from vecspark.plans.session import prepare
 
 DIMENSION = 1024
@@ -170,7 +170,7 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", di
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimension, pa.string()), pa.array(np.arange(dimension), pa.int32()), pa.array(v)], names=["lang", "at", "n"])
 
     labelled = df.select(df[lang_col].cast("string").alias("lang"), df[text_col].alias("text")).where("lang is not null and text is not null")
-    sums = labelled.mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    sums = labelled.mapInArrow(lambda batches: trimmed(run(batches)), "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums["lang"].to_pylist()))
     out = np.zeros((len(langs), dimension))
     out[[langs.index(x) for x in sums["lang"].to_pylist()], sums["at"].to_numpy()] = sums["n"].to_numpy()
@@ -217,4 +217,4 @@ def language_id(df: DataFrame, profiles: tuple[list[str], np.ndarray], id_col: s
                         [piece.column("id"), pa.array(lang, pa.string(), mask=no), pa.array(top, mask=no), pa.array(lead, mask=no | np.isnan(lead))], names=schema.names
                     )
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), schema)

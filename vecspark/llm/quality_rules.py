@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow_text import slices
+from vecspark.llm.arrow_text import slices, trimmed
 from vecspark.plans.session import position, positional, prepare
 
 #: Classes of characters by Unicode general categories: others (control and unassigned ones), upper-case and
@@ -133,7 +133,7 @@ def common_words(df: DataFrame, id_col: str, text_col: str, lang_col: str, top:
                         rows = 0
         yield from hand_on()
 
-    counts = _texts(df, id_col, text_col, lang_col).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = _texts(df, id_col, text_col, lang_col).mapInArrow(lambda batches: trimmed(run(batches)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, top)
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= top)
     return {r.lang: [x.word for x in r.best] for r in ranked.groupBy("lang").agg(best.alias("best")).collect()}
@@ -195,7 +195,7 @@ def quality_rules(
 
     source = _texts(df, id_col, text_col, lang_col)
     reference: dict[str, np.ndarray] = {}
-    for r in source.mapInArrow(sums, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in source.mapInArrow(lambda batches: trimmed(sums(batches)), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         reference.setdefault(r.lang, np.zeros(bins))[r.bin] = r.n
 
     def judge(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def quality_rules(
                     yield part.select(columns).filter(pa.array(said))
 
         both = [F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(t).cast("string").alias("text")]
-        return rows.select("*", *both).mapInArrow(keep, rows.schema).toDF(*df.columns)
+        return rows.select("*", *both).mapInArrow(lambda batches: trimmed(keep(batches)), rows.schema).toDF(*df.columns)
 
     schema = T.StructType(
         [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("js_chars", T.DoubleType()), T.StructField("js_words", T.DoubleType()), T.StructField("keep", T.BooleanType())]
@@ -232,4 +232,4 @@ def quality_rules(
                 gone = part.column("text").is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64(), mask=gone), pa.array(a, mask=gone), pa.array(b, mask=gone), pa.array(said)], names=schema.names)
 
-    return source.mapInArrow(tell, schema)
+    return source.mapInArrow(lambda batches: trimmed(tell(batches)), schema)

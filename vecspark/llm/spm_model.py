@@ -102,7 +102,7 @@ class SpmModel:
         t = Tokenizer(self.backend())
         if normalise:
             t.normalizer = self.normalizer()
-        steps = [decoders.Replace(UNDERLINE, " "), decoders.ByteFallback(), decoders.Fuse()]
+        steps = [decoders.Metaspace(UNDERLINE, "never"), decoders.ByteFallback(), decoders.Fuse()]
         if normalise and self.dummy_prefix:
             steps.append(decoders.Strip(" ", 1, 0))
         t.decoder = decoders.Sequence(steps)

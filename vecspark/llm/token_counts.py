@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vecspark.llm.arrow_text import slices
+from vecspark.llm.arrow_text import slices, trimmed
 from vecspark.llm.spm_model import UNKNOWN_PENALTY, SpmModel, distinct_pre_tokens
 
 #: Nodes of the linked trie and remembered pre-tokens of a worker; beyond them it starts anew, which changes no count.
@@ -236,4 +236,4 @@ def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
                 n = count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, mask=n < 0)], names=[id_col, "n_tokens"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), schema)
