@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH_CONF, None) == SPARK_BATCH_BYTES:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
     env = spark.sparkContext.environment
+    env.setdefault("MALLOC_ARENA_MAX", "2")  # each thread's own heap keeps what it has freed
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
