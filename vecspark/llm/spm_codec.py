@@ -45,7 +45,6 @@ class Codec:
         self.threads = threads
         self.model = SpmModel.parse(raw)
         self.words = self.model.tokenizer(normalise=False)
-        self.texts = self.model.tokenizer()
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.head = self.reference.encode("\n")
         line = self.words.encode("\n", add_special_tokens=False).ids
@@ -139,7 +138,7 @@ class Codec:
         return parity, [a == b for a, b in zip(texts, self.decode(ids), strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.texts.decode_batch(ids, skip_special_tokens=True)
+        return self.words.decode_batch(ids, skip_special_tokens=True)
 
 
 _CODECS: dict[tuple[bytes, int], Codec] = {}

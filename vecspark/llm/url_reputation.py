@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.plans.session import cut, prepare, small_or_hashed
+from vecspark.plans.session import cut, prepare, release, small_or_hashed
 
 THRESHOLD = 0.5
 Z = 1.645
@@ -77,22 +77,24 @@ def strength(level: DataFrame) -> Column:
     return s.select(mu.alias("mu"), m.alias("m"))
 
 
-def host_table(keyed: DataFrame, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
-    """Rows (``host``, ``domain``, ``suffix``, ``n``, ``good``, ``mean``, ``lower``) from pages with ``host`` and ``outcome``."""
+def host_table(keyed: DataFrame, rules: Iterable[str] = SUFFIXES) -> DataFrame:
+    """Rows (``host``, ``domain``, ``suffix``, ``n``, ``good``, ``mean``, ``lower``) from pages with ``host`` and
+    ``outcome``, written to the shared folder."""
     hosts = keyed.where("host is not null").groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("good"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), rules)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     hosts = cut(hosts, "hosts")
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "domains")
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffixes")
     (mu, ms), (_, md), (_, mh) = (tuple(strength(x).first()) for x in (suffixes, domains, hosts))
     s = cut(suffixes.select("suffix", ((F.col("good") + ms * mu) / (F.col("n") + ms)).alias("above")), "suffixes")
-    d = domains.join(small_or_hashed(s), "suffix").select("domain", ((F.col("good") + F.lit(md) * F.col("above")) / (F.col("n") + md)).alias("above"))
-    d = cut(d, "domains")
+    d = cut(domains.join(small_or_hashed(s), "suffix").select("domain", ((F.col("good") + F.lit(md) * F.col("above")) / (F.col("n") + md)).alias("above")), "domains")
     out = hosts.join(small_or_hashed(d), "domain")
     a, b = F.col("good") + F.lit(mh) * F.col("above"), F.col("n") - F.col("good") + F.lit(mh) * (1 - F.col("above"))
     out = out.withColumn("a", a).withColumn("b", b)
     mean, sd = F.col("a") / (F.col("a") + F.col("b")), F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
-    return out.select("host", "domain", "suffix", "n", "good", mean.alias("mean"), F.greatest(F.lit(0.0), mean - F.lit(Z) * sd).alias("lower"))
+    out = cut(out.select("host", "domain", "suffix", "n", "good", mean.alias("mean"), F.greatest(F.lit(0.0), mean - F.lit(Z) * sd).alias("lower")), "reputation")
+    release(hosts, domains, suffixes, s, d)
+    return out
 
 
 def url_reputation(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_col: str = "outcome", threshold: float = THRESHOLD, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
@@ -107,7 +109,7 @@ def url_reputation(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     prepare(pages.sparkSession)
     keyed = pages.select(pages[id_col].alias("__id"), host_of(pages[url_col]).alias("host"), pages[outcome_col].cast("int").alias("outcome"))
-    hosts = cut(host_table(keyed, suffixes).withColumnRenamed("host", "__host"), "reputation")
-    joined = keyed.join(small_or_hashed(hosts), F.col("host") == F.col("__host"), "left")
-    keep = F.col("host").isNull() | (F.col("lower") >= threshold)
-    return joined.select(F.col("__id").alias(id_col), "host", "domain", "suffix", F.col("n").alias("n_labelled"), F.col("good").alias("n_good"), "mean", "lower", keep.alias("keep"))
+    hosts = host_table(keyed, suffixes)
+    joined = keyed.join(small_or_hashed(hosts), keyed["host"] == hosts["host"], "left")
+    keep = keyed["host"].isNull() | (hosts["lower"] >= threshold)
+    return joined.select(F.col("__id").alias(id_col), keyed["host"], "domain", "suffix", F.col("n").alias("n_labelled"), F.col("good").alias("n_good"), "mean", "lower", keep.alias("keep"))
