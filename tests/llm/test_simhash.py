@@ -147,6 +147,60 @@ def test_links_of_one_key_match_brute_force(monkeypatch, pairwise):
     assert near and sets(zip(a.tolist(), b.tolist(), strict=True)) == sets(near)
 
 
+def far_pairs(n):
+    """Pairs of texts within the threshold, of which no segment is within two bits."""
+    rng, out = random.Random(11), []
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(4000)]
+    while len(out) < 2 * n:
+        w = rng.sample(words, 120)
+        pair = [" ".join(w), " ".join(w[:112] + rng.sample(words, 8))]
+        a, b = S.fingerprints(pa.array(pair))[0]
+        apart = np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32))
+        if apart.sum() <= S.MAX_DISTANCE and apart.min() > 2:
+            out += pair
+    return out
+
+
+def test_no_pair_within_the_threshold_is_left_out(spark):
+    texts = far_pairs(4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in S.near_duplicate_groups(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(8)} == dict(enumerate(brute(texts)))
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(df).collect()) == [0, 2, 4, 6]
+    assert S.near_duplicate_groups(df, exact=False).where("kept").count() == 8
+
+
+def test_all_links_match_brute_force_however_chunked(spark):
+    prints = np.unique(S.fingerprints(pa.array(corpus(60) + far_pairs(3)))[0], axis=0)
+    df = spark.createDataFrame([(bytearray(x),) for x in prints], "fp binary").cache()
+    w = prints.view(np.uint64)
+    near = [(prints[x].tobytes(), prints[y].tobytes()) for x in range(len(w)) for y in range(x) if np.bitwise_count(w[x] ^ w[y]).sum() <= S.MAX_DISTANCE]
+    for rows in (None, 1000, 30, 7):
+        links = S.all_links(df, chunk_rows=rows).collect()
+        assert all(bytes(r.a) < bytes(r.b) for r in links)
+        assert sets((bytes(r.a), bytes(r.b)) for r in links) == sets(near)
+    assert S.all_links(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tiles", [(1024, 512, 8), (5, 3, 2), (1, 1, 1)])
+@pytest.mark.parametrize("most", [0, 3, 92, 240, 511, 512])
+def test_pair_links_match_brute_force(monkeypatch, tiles, most):
+    for name, n in zip(("TILE_ROWS", "TILE_COLUMNS", "TILES"), tiles, strict=True):
+        monkeypatch.setattr(S, name, n)
+    monkeypatch.setattr(S, "JOIN_ROWS", tiles[0])
+    rng = np.random.default_rng(most)
+    bits = rng.integers(0, 2, (40, S.BITS), dtype=np.uint8)
+    bits[0], bits[1] = 0, 1
+    near = np.repeat(bits[:8], 5, axis=0) ^ (rng.random((40, S.BITS)) < rng.choice([0.002, 0.05, 0.1, 0.17], 40)[:, None])
+    prints = np.unique(np.packbits(np.concatenate([bits, near]), axis=1), axis=0)
+    w, every = prints.view(np.uint64), np.arange(len(prints))
+    for left, right in ((every, every), (every[::2], every[1::2]), (every[:7], every[7:])):
+        rights = set(right.tolist())
+        want = [(x, y) for x in left.tolist() for y in rights if x != y and np.bitwise_count(w[x] ^ w[y]).sum() <= most]
+        a, b = S.pair_links(prints, left, left if right is left else right, most)
+        assert sets(zip(a.tolist(), b.tolist(), strict=True)) == sets(want)
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)]
     df = spark.createDataFrame([(bytearray(a.to_bytes(4, "big")), bytearray(b.to_bytes(4, "big"))) for a, b in e], "a binary, b binary")
