@@ -1,10 +1,12 @@
 from datetime import datetime, timezone
+from functools import partial
 
 import numpy as np
 import pytest
 
 from vecspark.engine import Engine, EngineError
 from vecspark.operators.index import IndexError_, VectorIndex
+from vecspark.operators.knn import knn_lateral
 from vecspark.plans import rewrite as R
 from vecspark.plans.session import scratch_path
 from vecspark.sources.versions import VersionConflict, Versions
@@ -189,3 +191,32 @@ def test_refresh_window(spark, engine):
     assert sorted(ids(index.vectors())) == [1, 2]
     index.refresh(df, "id", "vec", "ts", at(3))
     assert sorted(ids(index.vectors())) == [1, 2, 3]
+
+
+LATERAL = "SELECT q.qid, n.id, n.d FROM near_q q, LATERAL (SELECT v.id, vec_distance(v.vec, q.ask) AS d FROM near_v v ORDER BY d, v.id LIMIT 4) n"
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_lateral_search_is_a_batch_search(spark, engine, rows, monkeypatch, block):
+    """Odd rows too: nulls, repeated ids and rows, ragged vectors, one query twice."""
+    monkeypatch.setattr("vecspark.engine.knn_lateral", partial(knn_lateral, block=block, chunk=64))
+    odd = spark.createDataFrame([(7, [1.0] * 64), (7, [1.0] * 64), (8, [1.0, 2.0]), (9, [])], "id long, vec array<float>")
+    lost = spark.createDataFrame([(500, None), (501, None)], "id long, vec array<float>")
+    ask = rows.unionByName(odd).where("id < 10").selectExpr("id AS qid", "vec AS ask").cache()
+    for base, queries in ((rows.unionByName(odd), ask), (rows.unionByName(odd).unionByName(lost), ask.unionByName(lost.selectExpr("id AS qid", "vec AS ask")))):
+        base.cache().createOrReplaceTempView("near_v")
+        queries.createOrReplaceTempView("near_q")
+        for text in (LATERAL, LATERAL.replace("q.ask)", "q.ask, 'IP')"), LATERAL.replace("q, LATERAL", "AS q JOIN LATERAL").replace("vec_distance", "vector_distance")):
+            got = engine.sql(text)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "near_v" not in plan and "Window" not in plan  # no pair of a query and a row is joined in SQL
+            key = lambda r: (r.qid, r.id, None if r.d is None else round(r.d, 9))
+            assert sorted(map(repr, map(key, got.collect()))) == sorted(map(repr, map(key, spark.sql(text.replace("vector_distance", "vec_distance")).collect())))
+
+
+def test_lateral_searches_that_stay():
+    found = lambda said: "near"
+    assert R.rewrite_lateral(LATERAL, found) == "SELECT q.qid, n.id, n.d FROM near_q q, LATERAL (SELECT id AS id, distance AS d FROM near WHERE near.searchvec <=> q.ask) n"
+    for same in (LATERAL.replace("ORDER BY d, v.id", "ORDER BY d"), LATERAL.replace("ORDER BY d,", "ORDER BY d DESC,"), LATERAL.replace("near_v v", "near_v v WHERE v.id > 1"), LATERAL.replace("near_q q", "near_q p"), "WITH near_q AS (SELECT 1) " + LATERAL, f"SELECT '{LATERAL}'"):
+        assert R.rewrite_lateral(same, found) == same
+    assert R.rewrite_lateral(LATERAL, lambda said: None) == LATERAL

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from vecspark.functions.codec import conversion, register_codec
 from vecspark.functions.distance import register_distances
 from vecspark.operators.index import VectorIndex
-from vecspark.operators.knn import ann_set
+from vecspark.operators.knn import ann_set, knn_lateral
 from vecspark.plans import rewrite
 from vecspark.plans.session import cut, prepare, shared_dir
 from vecspark.sources.config import read_config
-from vecspark.sources.options import ColumnOptions, search_options
+from vecspark.sources.options import MAX_K, ColumnOptions, search_options
 from vecspark.streaming.cdc import CdcDisabled, follow
 
 
+#: Names of metrics in vec_distance.
+LATERAL_METRICS = ("L2", "EUCLIDEAN", "IP", "COSINE", "ANGULAR", "COSINENORM")
+
+
 class EngineError(ValueError):
     """An unknown column or index, or a call with wrong arguments."""
 
@@ -151,6 +155,22 @@ class Engine:
         rows = self.spark.table(queries).select(F.monotonically_increasing_id().alias("qid"), "searchvec")
         return self._view(cut(self.ann_batch(column, rows, options).select("id").distinct(), "near"))
 
+    def _lateral(self, said: dict[str, str]) -> str | None:
+        """The neighbours of every query vector, by one batch search; None where the batch search hasn't SQL's results."""
+        if not self.spark.catalog.tableExists(said["base"]) or not self.spark.catalog.tableExists(said["queries"]):
+            return None
+        base, queries, k = self.spark.table(said["base"]), self.spark.table(said["queries"]), int(said["k"])
+        for df, name in ((base, said["vec"]), (queries, said["searchvec"])):
+            found = [t for c, t in df.dtypes if c.lower() == name.lower()]
+            if found != ["array<float>"] or not df.where(F.exists(df[name], lambda x: x.isNull())).isEmpty():  # a null among the values makes a distance null
+                return None
+        if not 1 <= k <= MAX_K or (said["metric"] or "L2").upper() not in LATERAL_METRICS:
+            return None
+        near = knn_lateral(base, queries, k, said["metric"] or "L2", said["id"], said["vec"], said["searchvec"])
+        name = f"__near_{uuid.uuid4().hex}"
+        near.createOrReplaceTempView(name)
+        return name
+
     def _functions(self, sql: str) -> str:
         return rewrite.rewrite_functions(sql, conversion)
 
@@ -175,12 +195,13 @@ class Engine:
             if len(args) != (2 if action in ("build", "refresh") else 1):
                 raise EngineError(f"wrong number of arguments for {action}")
             return getattr(self, f"index_{action}")(*args)
-        if re.search("VECTOR|VEC_CONSTRUCT", text, re.I):
+        if re.search("VECTOR|VEC_CONSTRUCT|LATERAL", text, re.I):
             if re.match(r"\s*(CREATE|ALTER)\s+TABLE\b", text, re.I):
                 text = rewrite.rewrite_columns(text)
             elif re.match(r"\s*(SELECT|EXPLAIN|WITH)\b", text, re.I):
                 new = rewrite.rewrite_is_ann(rewrite.rewrite_sets(text, self._ann_set), self._is_ann)
-                text = self._functions(new if new != text else rewrite.rewrite_search(text, self._search))
+                new = new if new != text else rewrite.rewrite_search(text, self._search)
+                text = self._functions(new if re.match(r"\s*EXPLAIN\b", text, re.I) else rewrite.rewrite_lateral(new, self._lateral))
         return self.spark.sql(text)
 
     # -- changes

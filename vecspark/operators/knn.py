@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.functions.distance import distance, distance_to
+from vecspark.plans.session import cut, release, small_or_hashed
 from vecspark.sources.options import metric as canonical
 
 #: Queries that meet vectors in one task.
@@ -75,16 +76,21 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norm == 0, 1.0, 1.0 - prod / np.where(norm == 0, 1.0, norm))
 
 
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, value by value as SQL adds them, so that what SQL finds equal is equal."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
 def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Distances of equally many rows, pair by pair; what the block product rounds is exact here."""
     if metric == "L2":
-        return ((q - v) ** 2).sum(axis=1)
+        return _total((q - v) ** 2)
     if metric == "HAMMING":
         return np.bitwise_count(q ^ v).sum(axis=1).astype(np.float64)
-    prod = (q * v).sum(axis=1)
+    prod = _total(q * v)
     if metric == "IP":
         return 1.0 - prod
-    norm = np.sqrt((q * q).sum(axis=1) * (v * v).sum(axis=1))
+    norm = np.sqrt(_total(q * q) * _total(v * v))
     return np.where(norm == 0, 1.0, 1.0 - prod / np.where(norm == 0, 1.0, norm))
 
 
@@ -146,7 +152,7 @@ def _by_length(column: pa.Array | pa.ChunkedArray, kind: type) -> list[tuple[np.
 def match(queries: pa.Table, vectors: pa.Table, metric: str, k: int) -> pa.Table:
     """Rows (``q``, ``id``, ``distance``): for each query (``q``, ``searchvec``) the ``k`` nearest of the vectors (``id``, ``vec``)."""
     kind = np.uint64 if metric == "HAMMING" else np.float64  # signed numbers would be counted by their absolute values
-    vectors = vectors.sort_by("id")
+    vectors = vectors.sort_by("id", null_placement="at_start")
     sides = _by_length(queries["searchvec"], kind), _by_length(vectors["vec"], kind)
     found = []
     for qrows, q in sides[0]:
@@ -186,10 +192,15 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2"
     m = canonical(metric)
     vectors = df.where(df[vec_col].isNotNull()).select(df[id_col].alias("id"), df[vec_col].alias("vec"))
     asked = queries.where(queries[query_vec].isNotNull()).select(queries[query_id].alias("q"), queries[query_vec].alias("searchvec"))
-    schema = batch_schema(queries, query_id, df.schema[id_col].dataType)
+    return ranked(_survivors(vectors, asked, k, m, block, chunk), k, query_id, id_col)
+
+
+def _survivors(vectors: DataFrame, asked: DataFrame, k: int, m: str, block: int = QUERY_BLOCK, chunk: int = VECTOR_CHUNK) -> DataFrame:
+    """Rows (``q``, ``id``, ``distance``), with the ``k`` nearest of the vectors (``id``, ``vec``) for each query (``q``, ``searchvec``)."""
+    schema = batch_schema(asked, "q", vectors.schema["id"].dataType)
     few = asked.limit(block + 1).toArrow()
     if len(few) <= block:
-        shared = df.sparkSession.sparkContext.broadcast(few)
+        shared = vectors.sparkSession.sparkContext.broadcast(few)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, best = [], None
@@ -206,17 +217,38 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2"
         def merge(best: pa.Table | None, new: pa.Table) -> pa.Table:
             return new if best is None else _top(pa.concat_tables([best, new]), k)
 
-        return ranked(vectors.mapInArrow(scan, schema), k, query_id, id_col)
+        return vectors.mapInArrow(scan, schema)
     blocks, chunks = -(-asked.count() // block), max(1, -(-vectors.count() // chunk))
     meet = lambda own, n, other, many: [F.pmod(F.xxhash64(*own), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("other")]
     left = asked.select("*", *meet(["q", "searchvec"], blocks, "chunk", chunks)).withColumnsRenamed({"own": "block", "other": "chunk"})
     right = vectors.select("*", *meet(["id", "vec"], chunks, "block", blocks)).withColumnsRenamed({"own": "chunk", "other": "block"})
     both = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    return ranked(both.applyInArrow(lambda q, v: match(q, v, m, k), schema), k, query_id, id_col)
+    return both.applyInArrow(lambda q, v: match(q, v, m, k), schema)
+
+
+def knn_lateral(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "L2", id_col: str = "id", vec_col: str = "vec", query_vec: str = "searchvec", block: int = QUERY_BLOCK, chunk: int = VECTOR_CHUNK) -> DataFrame:
+    """Rows (``searchvec``, ``id``, ``distance``) for each distinct query vector, null included: what a lateral subquery
+    with ``ORDER BY distance, id LIMIT k`` gives.
+
+    As there a null vector has a null distance, and nulls come first; rows with one id all count. The rows
+    are written, by one batch search.
+    """
+    asked = cut(queries.select(queries[query_vec].alias("searchvec")).distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+    rows = df.select(df[id_col].alias("id"), df[vec_col].alias("vec"))
+    none = F.lit(None).cast("double").alias("distance")
+    found = _survivors(rows.where("vec is not null"), asked.where("searchvec is not null"), k, canonical(metric), block, chunk)
+    for lost, hit in ((rows.where("vec is null"), asked.where("searchvec is not null")), (rows, asked.where("searchvec is null"))):
+        if not hit.isEmpty():
+            found = found.unionByName(hit.select("q").join(F.broadcast(lost.orderBy("id").limit(k)), how="cross").select("q", "id", none))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    near = found.withColumn("place", place).where(F.col("place") <= k)
+    out = cut(near.join(small_or_hashed(asked), "q").select("searchvec", "id", "distance"), "lateral")
+    release(asked)
+    return out
 
 
 def _top(t: pa.Table, k: int) -> pa.Table:
-    t = t.sort_by([("q", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+    t = t.sort_by("id", null_placement="at_start").sort_by([("q", "ascending"), ("distance", "ascending")])  # sorts are stable
     q = t["q"].combine_chunks().dictionary_encode()
     q = (q.combine_chunks() if isinstance(q, pa.ChunkedArray) else q).indices.fill_null(-1).to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.diff(q, prepend=-2))

@@ -166,12 +166,12 @@ def knn_batch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lateral_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest rows of each query by a lateral subquery."""
-    engine(spark)
+    """The nearest rows of each query by a lateral subquery, which the engine runs as a batch search."""
+    e = engine(spark)
     df = vectors(spark, sf_dir)
     df.createOrReplaceTempView("v_lateral")
     query_rows(df).createOrReplaceTempView("v_lateral_queries")
-    return rounded(spark.sql("SELECT q.qid, n.id, n.distance FROM v_lateral_queries q, LATERAL (SELECT v.id, vec_distance(v.vec, q.searchvec) AS distance FROM v_lateral v ORDER BY distance, v.id LIMIT 3) n"))
+    return rounded(e.sql("SELECT q.qid, n.id, n.distance FROM v_lateral_queries q, LATERAL (SELECT v.id, vec_distance(v.vec, q.searchvec) AS distance FROM v_lateral v ORDER BY distance, v.id LIMIT 3) n"))
 
 
 def ann_filter(pre: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
