@@ -1,9 +1,14 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators import knn as K
 from vecspark.operators.hnsw import Graph
+from vecspark.operators.index import CHUNK_BYTES, VectorIndex
+from vecspark.plans.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +152,35 @@ def test_graph_recall_and_round_trip():
     bad = Graph(16, "L2", 4, 20).build(np.arange(50), v[:50])
     bad.near[0][3, 0] = 3
     assert any("itself" in x for x in bad.faults())
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE"])
+def test_a_match_holds_one_tile(metric):
+    """What numpy holds of 20,000 vectors (5 MB) and 2,048 queries: a tile's distances and little else."""
+    rng = np.random.default_rng(6)
+    rows = lambda n: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 64, pa.int32()), pa.array(rng.normal(size=n * 64).astype(np.float32)))
+    q, v = (pa.table([pa.array(np.arange(n)), rows(n)], names=names) for n, names in ((2048, ["q", "searchvec"]), (20_000, ["id", "vec"])))
+    tracemalloc.start()
+    try:
+        assert K.match(q, v, metric, 5).num_rows == 5 * 2048
+        assert tracemalloc.get_traced_memory()[1] < 70e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunks_of_lists_are_bounded_in_bytes(spark):
+    for dim in (2, 64, 1024, 4096):
+        index = VectorIndex(spark, scratch_path(spark, "idx"), "t.v", f"type=IVF,dim={dim}")
+        assert 1 <= index.chunk_rows <= K.VECTOR_CHUNK and 4 * dim * index.chunk_rows <= CHUNK_BYTES
+
+
+def test_vectors_that_are_no_numbers_hide_none(monkeypatch):
+    monkeypatch.setattr(K, "TILE", (4, 8))
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 3)) * 1e3
+    v[5], v[11] = np.nan, np.inf
+    for metric in ("L2", "IP"):
+        row, col, _ = K.nearest(v[:1], v, metric, 4, np.random.default_rng(1).permutation(60))
+        order = np.random.default_rng(1).permutation(60)
+        d = K._exact(np.repeat(v[:1], 60, axis=0), v[order], metric)
+        assert col.tolist() == np.lexsort((np.arange(60), d))[:4].tolist()

@@ -30,6 +30,8 @@ from vecspark.sources.versions import Versions
 #: Vectors that a graph shard should hold, and bytes of vectors that it may.
 SHARD_ROWS = 100_000
 SHARD_BYTES = 64 << 20
+#: Bytes of vectors that a task of a search of lists holds, besides the bound on their number.
+CHUNK_BYTES = 16 << 20
 #: Shards, by their centroids, that a query of an HNSW index visits.
 PROBED = 8
 #: Rows for each centroid that the centroids of graph shards are fitted on; every row is indexed.
@@ -65,6 +67,7 @@ class VectorIndex:
         self.options = ColumnOptions.of(options) if isinstance(options, str) else options
         self.versions = Versions(spark, f"{index_dir.rstrip('/')}/{name}")
         self.shard_rows = max(1, min(shard_rows, SHARD_BYTES // (4 * self.options.dim)))
+        self.chunk_rows = max(1, min(K.VECTOR_CHUNK, CHUNK_BYTES // (4 * self.options.dim)))
         self.manifest: dict | None = None
         self.searches = 0
 
@@ -151,10 +154,10 @@ class VectorIndex:
             placed = self._near_centres(saved, "vec", centres, 2, "near").select("id", "vec", F.col("near")[0].alias("home"), F.explode("near").alias("centroid"))
         else:
             placed = self.spark.createDataFrame([], IVF_ROWS)
-        chunk = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // K.VECTOR_CHUNK))))  # parts a hot list, and no more files than tasks
+        chunk = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // self.chunk_rows))))  # parts a hot list, and no more files than tasks
         placed.repartition(F.col("centroid"), chunk).write.partitionBy("centroid").parquet(base)
         sizes = {r.centroid: r["count"] for r in self.spark.read.schema(IVF_ROWS).parquet(base).groupBy("centroid").count().collect()} if rows else {}
-        parts = [max(1, -(-sizes.get(i, 0) // K.VECTOR_CHUNK)) for i in range(len(centres))]
+        parts = [max(1, -(-sizes.get(i, 0) // self.chunk_rows)) for i in range(len(centres))]
         return {"base": base, "centres": self._save_centres(centres, [0] * len(parts), parts)}
 
     def _shards(self, saved: DataFrame, rows: int) -> dict[str, str]:

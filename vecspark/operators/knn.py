@@ -23,10 +23,10 @@ from vecspark.sources.options import metric as canonical
 QUERY_BLOCK = 16_384
 #: Vectors that a task of a batch search holds.
 VECTOR_CHUNK = 65_536
-#: Rows of queries and of vectors that are multiplied at once.
-TILE = (1024, 4096)
-#: Pairs of a query and a candidate whose exact distances a task takes at once.
-PAIRS = 1 << 16
+#: Rows of queries and of vectors that are multiplied at once: 16 MB of distances.
+TILE = (512, 4096)
+#: Pairs of a query and a candidate that a task ranks at once, and bytes of a side of those whose exact distances it takes at once.
+PAIRS, EXACT_BYTES = 1 << 16, 4 << 20
 
 
 def knn(df: DataFrame, query: Sequence[float], k: int = 10, metric: str = "L2", id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -62,18 +62,25 @@ def group_knn(df: DataFrame, query: Sequence[float], k: int, group_col: str, met
     return near.orderBy("distance", group_col).limit(k)
 
 
-def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """All distances of two blocks of rows, in doubles."""
+def _wide(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows as they are multiplied: in doubles, packed words as they are."""
+    return x if metric == "HAMMING" else x.astype(np.float64)
+
+
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """All distances of two blocks of rows, in doubles, less a number for each row of ``q``; and those numbers."""
     if metric == "HAMMING":
-        return sum((np.bitwise_count(q[:, i, None] ^ v[None, :, i]).astype(np.float64) for i in range(q.shape[1])), np.zeros((len(q), len(v))))
-    prod = q @ v.T
-    if metric == "IP":
-        return 1.0 - prod
-    qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        return sum((np.bitwise_count(q[:, i, None] ^ v[None, :, i]).astype(np.float64) for i in range(q.shape[1])), np.zeros((len(q), len(v)))), np.zeros(len(q))
     if metric == "L2":
-        return np.maximum(0.0, qq[:, None] + vv[None, :] - 2 * prod)
-    norm = np.sqrt(qq[:, None] * vv[None, :])
-    return np.where(norm == 0, 1.0, 1.0 - prod / np.where(norm == 0, 1.0, norm))
+        own = np.einsum("ij,ij->i", v, v)
+        return np.hstack([-2 * q, np.ones((len(q), 1))]) @ np.hstack([v, own[:, None]]).T, np.einsum("ij,ij->i", q, q)
+    if metric == "IP":
+        return -q @ v.T, np.ones(len(q))
+    d = q @ v.T
+    norm = np.sqrt((q * q).sum(axis=1)[:, None] * (v * v).sum(axis=1)[None, :])
+    np.divide(d, norm, out=d, where=norm != 0)
+    d[norm == 0] = 0.0
+    return np.negative(d, out=d), np.ones(len(q))
 
 
 def _total(x: np.ndarray) -> np.ndarray:
@@ -94,38 +101,50 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norm == 0, 1.0, 1.0 - prod / np.where(norm == 0, 1.0, norm))
 
 
-def _slack(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """For each query twice what rounding can make of a distance of :func:`_distances`, generously."""
-    if metric == "HAMMING" or not len(v):
+def _slack(q: np.ndarray, longest: float, metric: str) -> np.ndarray:
+    """For each query twice what rounding can make of a distance of :func:`_distances`, generously; ``longest`` is the
+    length of the longest vector."""
+    if metric == "HAMMING":
         return np.zeros(len(q))
     eps = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
     if metric == "COSINE":
         return np.full(len(q), eps)
-    qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1).max())
-    return eps * ((qn + vn) ** 2 if metric == "L2" else 1.0 + qn * vn)
+    qn = np.sqrt((q * q).sum(axis=1))
+    return eps * ((qn + longest) ** 2 if metric == "L2" else 1.0 + qn * longest)
 
 
-def nearest(q: np.ndarray, v: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(q: np.ndarray, v: np.ndarray, metric: str, k: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``q``, rows of ``v`` and their distances: for each row of ``q`` the ``k`` nearest, ties by the row of ``v``.
+    With ``order``, rows of ``v`` are counted in that order.
 
-    Tiles are multiplied; whatever may be among the nearest, after rounding and with all ties, gets its
-    exact distance. The bound for that falls from tile to tile.
+    Tiles are made doubles and multiplied; whatever may be among the nearest, after rounding and with all
+    ties, gets its exact distance. The bound for that falls from tile to tile. Memory beside both sides is
+    that of one tile and of what is kept.
     """
-    found = [_tile_rows(q[a : a + TILE[0]], v, metric, k, a) for a in range(0, len(q), TILE[0])]
+    order = np.arange(len(v)) if order is None else order
+    tiles = [order[b : b + TILE[1]] for b in range(0, len(v), TILE[1])]
+    longest = 0.0 if metric == "HAMMING" else np.sqrt(max((np.fmax.reduce((_wide(v[t], metric) ** 2).sum(axis=1), initial=0.0) for t in tiles), default=0.0))
+    found = [_tile_rows(_wide(q[a : a + TILE[0]], metric), v, tiles, metric, k, a, longest) for a in range(0, len(q), TILE[0])]
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _tile_rows(q: np.ndarray, v: np.ndarray, metric: str, k: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    slack, bound = _slack(q, v, metric), np.full(len(q), np.inf)
+def _tile_rows(q: np.ndarray, v: np.ndarray, tiles: list[np.ndarray], metric: str, k: int, offset: int, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slack, bound = _slack(q, longest, metric), np.full(len(q), np.inf)
     row, col, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for b in range(0, len(v), TILE[1]):
-        d = _distances(q, v[b : b + TILE[1]], metric)
-        if k < d.shape[1]:
-            bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
-        x, y = np.nonzero(~(d > bound[:, None]))  # what is no number counts as near
+    step = max(1, EXACT_BYTES // (8 * max(1, q.shape[1])))
+    for b, own in zip(range(0, len(v), TILE[1]), tiles, strict=True):
+        tile = _wide(v[own], metric)
+        d, more = _distances(q, tile, metric)
+        near = ~(d > (bound - more)[:, None])  # what is no number counts as near
+        if k < d.shape[1] and np.count_nonzero(near) > 2 * k * len(q):
+            bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + more + slack)
+            near = ~(d > (bound - more)[:, None])
+        x, y = np.nonzero(near)
+        del d, near
         for i in range(0, len(x), PAIRS):
-            r, c = x[i : i + PAIRS], y[i : i + PAIRS] + b
-            row, col, far = np.concatenate([row, r]), np.concatenate([col, c]), np.concatenate([far, _exact(q[r], v[c], metric)])
+            r, c = x[i : i + PAIRS], y[i : i + PAIRS]
+            new = [_exact(q[r[j : j + step]], tile[c[j : j + step]], metric) for j in range(0, len(r), step)]
+            row, col, far = np.concatenate([row, r]), np.concatenate([col, c + b]), np.concatenate([far, *new])
             order = np.lexsort((col, far, row))
             row, col, far = row[order], col[order], far[order]
             first = np.searchsorted(row, np.arange(len(q)))
@@ -136,11 +155,13 @@ def _tile_rows(q: np.ndarray, v: np.ndarray, metric: str, k: int, offset: int) -
     return row + offset, col, far
 
 
-def _by_length(column: pa.Array | pa.ChunkedArray, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows of each length of an array column without nulls: their numbers, and their values as a matrix."""
+def _by_length(column: pa.Array | pa.ChunkedArray, kind: type | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length of an array column without nulls: their numbers, and their values as a matrix, of the column's
+    own kind where ``kind`` is None."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat if kind is None else flat.astype(kind, copy=False)
     start = np.cumsum(size) - size
     out = []
     for n in np.unique(size).tolist():
@@ -151,22 +172,25 @@ def _by_length(column: pa.Array | pa.ChunkedArray, kind: type) -> list[tuple[np.
 
 def match(queries: pa.Table, vectors: pa.Table, metric: str, k: int) -> pa.Table:
     """Rows (``q``, ``id``, ``distance``): for each query (``q``, ``searchvec``) the ``k`` nearest of the vectors (``id``, ``vec``)."""
-    kind = np.uint64 if metric == "HAMMING" else np.float64  # signed numbers would be counted by their absolute values
-    vectors = vectors.sort_by("id", null_placement="at_start")
+    kind = np.uint64 if metric == "HAMMING" else None  # signed numbers would be counted by their absolute values
+    place = pc.sort_indices(vectors["id"], null_placement="at_start").to_numpy(zero_copy_only=False).astype(np.int64)
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
     sides = _by_length(queries["searchvec"], kind), _by_length(vectors["vec"], kind)
     found = []
     for qrows, q in sides[0]:
         for vrows, v in sides[1]:
             n = min(q.shape[1], v.shape[1])
-            r, c, d = nearest(np.ascontiguousarray(q[:, :n]), np.ascontiguousarray(v[:, :n]), metric, k)
-            found.append((qrows[r], vrows[c], d))
+            order = np.argsort(rank[vrows])
+            r, c, d = nearest(q[:, :n], v[:, :n], metric, k, order)
+            found.append((qrows[r], rank[vrows[order[c]]], d))
     row, col, far = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     if len(found) > 1:
         order = np.lexsort((col, far, row))
         row, col, far = row[order], col[order], far[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         row, col, far = row[keep], col[keep], far[keep]
-    return pa.table([queries["q"].take(pa.array(row)), vectors["id"].take(pa.array(col)), pa.array(far)], names=["q", "id", "distance"])
+    return pa.table([queries["q"].take(pa.array(row)), vectors["id"].take(pa.array(place[col])), pa.array(far)], names=["q", "id", "distance"])
 
 
 def ranked(found: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
